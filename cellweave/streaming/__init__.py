@@ -1,0 +1 @@
+"""Intentionally empty: the workload this library covers has no streaming operator."""
