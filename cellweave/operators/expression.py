@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import log_cp10k
+from ..session import ensure_checkpoint_dir
 from .filters import select_ids
-from .ranking import average_ranks
+from .ranking import average_ranks, rank_table
 
 
 def libraries(cells: DataFrame, counts: DataFrame) -> DataFrame:
@@ -144,7 +145,10 @@ def shared_features(panels: Sequence[DataFrame]) -> DataFrame:
 
 def spearman(pairs: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
     """Rank correlation per group; fewer than three pairs or a constant side is unknown, not zero."""
-    ranked = average_ranks(average_ranks(pairs, by, left, "_ra"), by, right, "_rb")
+    ensure_checkpoint_dir(pairs.sparkSession)
+    pairs = pairs.select(*by, left, right).checkpoint()  # read by both rankings
+    ranked = average_ranks(pairs, by, left, "_ra").join(
+        rank_table(pairs, by, right, "_rb"), [*by, right])
     stats = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_rho"),
                                     F.min(left).alias("_a0"), F.max(left).alias("_a1"), F.min(right).alias("_b0"), F.max(right).alias("_b1"))
     ok = (F.col("n") >= 3) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))

@@ -18,7 +18,8 @@ def cumulative_counts(rows: DataFrame, by: Sequence[str], value: str, bucket: Co
         rows, by = rows.withColumn("_all", F.lit(1)), ["_all"]
     dist = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     if bucket is None:
-        cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+        # Cut points balance distinct values, which is what the per-bucket sort below handles.
+        cuts = dist.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
         dist = dist.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     else:
         dist = dist.withColumn("_b", bucket)
@@ -31,9 +32,13 @@ def cumulative_counts(rows: DataFrame, by: Sequence[str], value: str, bucket: Co
             .withColumn("before", F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("_off"))
 
 
+def rank_table(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Average rank of each distinct value."""
+    return cumulative_counts(rows, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+
+
 def average_ranks(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    ranks = cumulative_counts(rows, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
-    return rows.join(ranks, [*by, value])
+    return rows.join(rank_table(rows, by, value, out), [*by, value])
 
 
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
