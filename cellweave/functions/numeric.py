@@ -57,10 +57,10 @@ def permutation_resolution(family: Column, permutations: Column, rank: Column, a
     alpha is taken as a decimal text so that boundary cases are decided with integers only.
     """
     numerator, denominator = Decimal(alpha).as_integer_ratio()
-    m, b1, r = family.cast("decimal(18,0)"), (permutations + 1).cast("decimal(18,0)"), rank.cast("decimal(18,0)")
-    num, den = F.lit(numerator).cast("decimal(9,0)"), F.lit(denominator).cast("decimal(9,0)")
-    need_rank = F.floor((m * den - F.pmod(m * den, b1 * num)) / (b1 * num)).cast("bigint") + 1
-    need_perm = F.floor((m * den - F.pmod(m * den, r * num)) / (r * num)).cast("bigint")
+    m, b1, r = family.cast("bigint"), (permutations + 1).cast("bigint"), rank.cast("bigint")
+    num, den = F.lit(numerator).cast("bigint"), F.lit(denominator).cast("bigint")
+    need_rank = F.call_function("div", m * den, b1 * num) + 1
+    need_perm = F.call_function("div", m * den, r * num)
     attainable = m * den < r * num * b1
     return F.struct(
         (F.lit(1.0) / (permutations + 1)).alias("minimum_p"),

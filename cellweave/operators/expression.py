@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import log_cp10k
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from .filters import select_ids
 from .ranking import average_ranks, rank_table
 
@@ -145,8 +145,7 @@ def shared_features(panels: Sequence[DataFrame]) -> DataFrame:
 
 def spearman(pairs: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
     """Rank correlation per group; fewer than three pairs or a constant side is unknown, not zero."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    pairs = pairs.select(*by, left, right).checkpoint()  # read by both rankings
+    pairs = materialise(pairs.select(*by, left, right))  # read by both rankings
     ranked = average_ranks(pairs, by, left, "_ra").join(
         rank_table(pairs, by, right, "_rb"), [*by, right])
     stats = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_rho"),

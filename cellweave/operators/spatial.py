@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 
 _SLACK = 1e-9  # tiles are a hair wider than the radius so rounding cannot hide an inclusive neighbour
 
@@ -117,12 +117,12 @@ def knn(points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), id_col: str
     tiles (a projected distance never exceeds the full one) and the full distance ranks.
     """
     dims = list(dims)
+    points = materialise(points.select(id_col, *dims))  # read by every round
     a0, b0, extent, n = _box(points, dims)
     k = min(k, n - 1)
     id_type = points.schema[id_col].dataType.simpleString()
     if k < 1:
         return points.sparkSession.createDataFrame([], f"src {id_type}, dst {id_type}, dist double, rank int")
-    ensure_checkpoint_dir(points.sparkSession)
     base = max(0, math.floor(math.log(max(n / (k + 1), 1), 4))) + 1
     deepest = min(28, base + 12)
     fine = extent / 2**deepest
@@ -139,7 +139,7 @@ def knn(points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), id_col: str
         asked, used = gridded.withColumn("_lv", F.lit(base)), [base]
     else:
         levelled = _levels(cand, k, base, deepest).select("_fx", "_fy", "_lv").distinct()
-        asked = gridded.join(levelled, ["_fx", "_fy"]).checkpoint()
+        asked = materialise(gridded.join(levelled, ["_fx", "_fy"]))
         used = _levels_in(asked)
 
     renamed = {d: f"_r{i}" for i, d in enumerate(dims)}
@@ -166,7 +166,7 @@ def knn(points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), id_col: str
         per_point = W.partitionBy("_id")
         near = near.withColumns({"_seen": F.count("*").over(per_point), "_r": F.sqrt(F.max("_d2").over(per_point))})
         done = (F.col("_seen") == k) & (F.col("_r") <= F.col("_margin"))
-        return near.select("_id", "dst", "_d2", "rank", "_seen", "_r", done.alias("_done")).checkpoint()
+        return materialise(near.select("_id", "dst", "_d2", "rank", "_seen", "_r", done.alias("_done")))
 
     rounds = []
     while used:
@@ -174,9 +174,9 @@ def knn(points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), id_col: str
         rounds.append(near.filter("_done").select(F.col("_id").alias("src"), "dst", F.sqrt("_d2").alias("dist"), "rank"))
         seen = near.filter(F.col("rank") == 1).select("_id", "_done", F.when(F.col("_seen") == k, F.col("_r")).alias("_r"))
         wide = F.floor(F.log2(F.lit(extent) / (F.col("_r") * (1 + 1e-6) + extent * 1e-12))).cast("int")
-        asked = (asked.join(seen, "_id", "left").filter(F.expr("not coalesce(_done, false)"))
-                 .withColumn("_lv", F.greatest(F.lit(0), F.least(F.col("_lv") - 1, F.coalesce(wide, F.col("_lv") - 1))))
-                 .drop("_done", "_r").checkpoint())
+        asked = materialise(
+            asked.join(seen, "_id", "left").filter(F.expr("not coalesce(_done, false)"))
+            .withColumn("_lv", F.greatest(F.lit(0), F.least(F.col("_lv") - 1, F.coalesce(wide, F.col("_lv") - 1)))).drop("_done", "_r"))
         used = _levels_in(asked)
     out = rounds[0]
     for part in rounds[1:]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import permutation_p
+from ..session import materialise
 from .ranking import benjamini_hochberg, cumulative_counts, permutations
 
 SLOTS = 32  # features per block row: wide columns keep the permutation sums inside generated code
@@ -31,6 +32,7 @@ def _moments(values: DataFrame, n: Column | int) -> tuple[Column, Column]:
 
 def moran_i(values: DataFrame, graph: DataFrame, n: int, constant: float = 1e-12) -> DataFrame:
     """Moran's I per feature (NULL where constant) for long values with implicit zeros and any graph."""
+    values, graph = materialise(values), materialise(graph)
     mean, spread = _moments(values, n)
     stats = values.groupBy("feature_id").agg(mean.alias("m"), spread.alias("d"))
     s0 = graph.agg(F.sum("w").alias("s0")).withColumn("_k", F.lit(1))
@@ -55,13 +57,15 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
     I = n/S0 * (sum w y_i y_j - 2 m sum deg_i y_i + m^2 S0) / sum (y - m)^2, so a permutation only moves the
     first two sums and all-zero blocks never travel.
     """
+    ids, graph, detected = materialise(ids.select("cell_id")), materialise(graph), materialise(detected)
     n = ids.count()
     eligible = detected.filter(F.col("detected") >= min_detected).select("feature_id")
-    tested_values = values.join(eligible, "feature_id", "left_semi")
+    tested_values = materialise(values.join(eligible, "feature_id", "left_semi"))
     wide, index = _blocked(tested_values, eligible)
+    wide, index = materialise(wide), materialise(index)
     mean, spread = _moments(tested_values, n)
     stats = tested_values.groupBy("feature_id").agg(mean.alias("m"), spread.alias("d"))
-    placed = permutations(ids, permutation_count, seed)
+    placed = materialise(permutations(ids, permutation_count, seed))
     half = graph.filter(F.col("src") < F.col("dst"))
     at = lambda name, value: placed.select("perm", F.col("cell_id").alias(name), F.col("from_id").alias(value))
     y = lambda key, p: wide.select(F.col("cell_id").alias(key), "block", *[F.col(f"y{i}").alias(f"{p}{i}") for i in range(SLOTS)])
@@ -77,7 +81,7 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
               .withColumn("_k", F.lit(1)).join(F.broadcast(s0), "_k"))  # s0: one row
     m, w = F.col("m"), F.col("s0")
     score = F.lit(n) / w * (F.coalesce("aa", F.lit(0.0)) - 2 * m * F.col("r") + m * m * w) / F.col("d")
-    scored = joined.filter(F.col("d") > 1e-12).select("feature_id", "perm", score.alias("i"))
+    scored = materialise(joined.filter(F.col("d") > 1e-12).select("feature_id", "perm", score.alias("i")))
     observed = scored.filter("perm = 0").select("feature_id", F.col("i").alias("morans_i"))
     exceed = (scored.filter("perm > 0").join(observed, "feature_id").groupBy("feature_id")
               .agg(F.count_if(F.col("i") >= F.col("morans_i")).alias("exceed")))
@@ -121,9 +125,10 @@ def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, gr
     Ligand sides are folded over the graph once (c_j = sum_i a_i w~_ij), so a permutation replicate is one
     join of c with moved receptor values and never touches the edges again.
     """
+    ids, graph = materialise(ids.select("cell_id")), materialise(graph)
     n = ids.count()
-    entities, verdict = resolve_pairs(pairs, features)
-    expr = entity_expression(values.join(ids.select("cell_id"), "cell_id", "left_semi"), entities)
+    entities, verdict = (materialise(df) for df in resolve_pairs(pairs, features))
+    expr = materialise(entity_expression(values.join(ids, "cell_id", "left_semi"), entities))
     out_weight = graph.groupBy("src").agg(F.sum("w").alias("_t"))
     weights = graph.join(out_weight, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
     testable = verdict.filter("testable").select("ligand", "receptor")
@@ -132,8 +137,9 @@ def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, gr
               .agg(F.sum(F.col("value") * F.col("w")).alias("c")))
     receptors = expr.select(F.col("entity").alias("receptor"), F.col("cell_id").alias("from_id"), F.col("value").alias("b"))
     placed = permutations(ids, permutation_count, seed)
-    per_perm = (folded.join(testable, "ligand").join(placed, "cell_id").join(receptors, ["receptor", "from_id"])
-                .groupBy("ligand", "receptor", "perm").agg((F.sum(F.col("c") * F.col("b")) / n).alias("s")))
+    per_perm = materialise(
+        folded.join(testable, "ligand").join(placed, "cell_id").join(receptors, ["receptor", "from_id"])
+        .groupBy("ligand", "receptor", "perm").agg((F.sum(F.col("c") * F.col("b")) / n).alias("s")))
     observed = per_perm.filter("perm = 0").select("ligand", "receptor", F.col("s").alias("_obs"))
     keys = ["ligand", "receptor"]
     exceed = (per_perm.filter("perm > 0").join(observed, keys).groupBy(*keys).agg(F.count_if(F.col("s") >= F.col("_obs")).alias("_e")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str, cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -18,6 +18,8 @@ def local_session(app: str, cpus: int | str = 8, shuffle_partitions: int = 8) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
@@ -32,3 +34,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several later steps read, and cut its lineage there.
+
+    The copy lives in the reliable checkpoint folder, so a lost executor costs a re-read, not a re-run.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
