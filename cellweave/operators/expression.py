@@ -148,7 +148,9 @@ def spearman(pairs: DataFrame, by: Sequence[str], left: str, right: str) -> Data
     pairs = materialise(pairs.select(*by, left, right))  # read by both rankings
     ranked = average_ranks(pairs, by, left, "_ra").join(
         rank_table(pairs, by, right, "_rb"), [*by, right])
-    stats = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_rho"),
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    rho = F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0))  # constant sides give NULL instead of an error
+    stats = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("_rho"),
                                     F.min(left).alias("_a0"), F.max(left).alias("_a1"), F.min(right).alias("_b0"), F.max(right).alias("_b1"))
     ok = (F.col("n") >= 3) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))
     return stats.select(*by, "n", F.when(ok, F.col("_rho")).alias("rho"), F.when(ok, "descriptive").otherwise("unknown").alias("status"))

@@ -23,7 +23,7 @@ def adjusted_rand(left: DataFrame, right: DataFrame) -> DataFrame:
     ca = fold(pairs.groupBy("a").agg(F.sum("n").alias("n")), "ca")
     cb = fold(pairs.groupBy("b").agg(F.sum("n").alias("n")), "cb")
     out = same.join(ca, "_k").join(cb, "_k")  # one row each
-    expected = F.col("ca") * F.col("cb") / choose(F.col("_t_same"))
+    expected = F.col("ca") * F.col("cb") / F.nullif(choose(F.col("_t_same")), F.lit(0.0))
     denominator = (F.col("ca") + F.col("cb")) / 2 - expected
     return out.select(F.col("_t_same").cast("bigint").alias("common_count"),
                       F.when(denominator == 0, 1.0).otherwise((F.col("same") - expected) / F.nullif(denominator, F.lit(0.0))).alias("adjusted_rand_index"))

@@ -24,7 +24,7 @@ def enrich_sql(tag: str, cells: str, scope: str, radius: float) -> str:
     {tag}_src as (select * from {cells} where included and label='{SOURCE}' and cell_id in (select cell_id from roi)),
     {tag}_deg as (select s.cell_id, count(n.cell_id) as deg, count(case when n.label='{TARGET}' then 1 end) as hit
         from {tag}_src s left join {tag}_node n on n.cell_id<>s.cell_id and (s.x-n.x)*(s.x-n.x)+(s.y-n.y)*(s.y-n.y) <= {radius}*{radius} group by s.cell_id),
-    {tag} as (select *, edges>0 and targets>0 as ok, hits/edges::double as obs, targets/(nodes-1)::double as nul from
+    {tag} as (select *, edges>0 and targets>0 as ok, case when edges>0 and targets>0 then hits/edges::double end as obs, case when edges>0 and targets>0 then targets/(nodes-1)::double end as nul from
         (select (select count(*) from {tag}_node) as nodes, (select count(*) from {tag}_node where label='{TARGET}') as targets,
         count(*) as sources, coalesce(sum(deg),0)::bigint as edges, coalesce(sum(hit),0)::bigint as hits, count(case when deg=0 then 1 end) as isolated,
         coalesce(max(deg),0) as maxdeg, count(case when deg>0 then 1 end) as linked, avg(case when deg>0 then hit/deg::double end) as mean_ratio from {tag}_deg))"""

@@ -206,9 +206,9 @@ def fn_08(t: Tables) -> DataFrame:
 
 
 @query("FN_09_permutation_resolution", (), """select p_partkey, 1.0::double/(b+1) as minimum_p, (m*20)//(b+1)+1 as minimum_rejection_rank, (m*20)//r as minimum_permutations, m*20 < r*(b+1) as rank_attainable
-    from (select p_partkey, p_partkey*7 as m, p_size*37+18 as b, p_size+1 as r from part)""")
+    from (select p_partkey, (p_partkey+1)*7 as m, p_size*37+18 as b, p_size+1 as r from part)""")
 def fn_09(t: Tables) -> DataFrame:
-    p = t.raw("part").select("p_partkey", (F.col("p_partkey") * 7).alias("m"), (F.col("p_size") * 37 + 18).alias("b"), (F.col("p_size") + 1).alias("r"))
+    p = t.raw("part").select("p_partkey", ((F.col("p_partkey") + 1) * 7).alias("m"), (F.col("p_size") * 37 + 18).alias("b"), (F.col("p_size") + 1).alias("r"))
     out = p.select("p_partkey", numeric.permutation_resolution(F.col("m"), F.col("b"), F.col("r"), "0.05").alias("s")).select("p_partkey", "s.*")
     return out.drop("rank_threshold")
 
