@@ -13,6 +13,7 @@ from .filters import within
 LEVELS = (16, 32, 64, 128, 256)
 MAX_POLYGONS = 2_000
 MAX_VERTICES = 100_000
+MAX_RING = 1_001  # vertices of one boundary, closing vertex included
 
 
 def assemble_boundaries(vertices: DataFrame) -> DataFrame:
@@ -20,17 +21,21 @@ def assemble_boundaries(vertices: DataFrame) -> DataFrame:
 
     A boundary holds at most 1000 vertices by contract; longer ones are reported from their counts.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("vertex", "x", "y")))
     grouped = vertices.groupBy("boundary_id").agg(
         F.min("cell_id").alias("cell_id"), F.max("cell_id").alias("_c1"), F.min("kind").alias("kind"), F.max("kind").alias("_k1"),
         F.count("*").alias("vertex_count"), F.count_distinct("vertex").alias("_distinct"),
-        F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"), ordered.alias("ring"))
+        F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    # Rings are collected only for boundaries already known to fit the vertex limit.
+    fitting = grouped.filter(F.col("vertex_count") <= MAX_RING).select("boundary_id")
+    ordered = F.array_sort(F.collect_list(F.struct("vertex", "x", "y")))
+    rings = vertices.join(fitting, "boundary_id", "left_semi").groupBy("boundary_id").agg(ordered.alias("ring"))
+    out = grouped.join(rings, "boundary_id", "left")
     problem = (F.when((F.col("cell_id") != F.col("_c1")) | (F.col("kind") != F.col("_k1")), "mixes_objects_or_kinds")
                .when(~F.col("kind").isin("cell", "nucleus"), "unknown_kind")
                .when(F.col("_distinct") != F.col("vertex_count"), "duplicate_vertex_index")
-               .when(F.col("vertex_count") > 1001, "needs_3_to_1000_distinct_vertices")
+               .when(F.col("vertex_count") > MAX_RING, "needs_3_to_1000_distinct_vertices")
                .otherwise(polygon_problem_udf(F.col("ring.x"), F.col("ring.y"))))
-    return grouped.withColumn("problem", problem).drop("_c1", "_k1", "_distinct")
+    return out.withColumn("problem", problem).drop("_c1", "_k1", "_distinct")
 
 
 def box_table(layer: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import affine_struct_problem
 from ..operators import integration as I, protein as PR, revisions as R, validate as V
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from ..sources import registry, sinks, text
 from .annotation import _proposal, rounded
 from .measurement import live_cells
@@ -30,26 +30,28 @@ def _text_counts(t: Tables) -> DataFrame:
     return t.counts.select(F.col("cell_id").cast("string").alias("cell_id"), "feature_id", "value")
 
 
-def write_tenx(t: Tables, folder: str) -> None:
+def write_tenx(t: Tables, folder: str, *tables: str) -> None:
     """Export the derived tables in the coordinate-matrix layout (features typed, controls included)."""
     from ..operators.ranking import dense_index
-    cell_axis = dense_index(t.cells, "cell_id")
-    gene_axis = dense_index(t.features, "feature_id")
-    n_genes, n_cells, nnz = gene_axis.count(), cell_axis.count(), t.counts.count()
+    counts = materialise(t.counts)
+    cell_axis, gene_axis = materialise(dense_index(t.cells, "cell_id")), materialise(dense_index(t.features, "feature_id"))
+    n_genes, n_cells, nnz = gene_axis.count(), cell_axis.count(), counts.count()
     gene_axis.repartitionByRange(2, "idx").sortWithinPartitions("idx").select(
         F.concat_ws("\t", "feature_id", "feature_id", F.when(F.col("feature_id").startswith("Brand#5"), "Negative Control").otherwise("Gene Expression"))).write.text(f"{folder}/features.tsv")
     cell_axis.repartitionByRange(2, "idx").sortWithinPartitions("idx").select(F.concat(F.lit("c"), F.col("cell_id").cast("string"))).write.text(f"{folder}/barcodes.tsv")
-    body = (t.counts.join(gene_axis.withColumnRenamed("idx", "r"), "feature_id").join(cell_axis.withColumnRenamed("idx", "c"), "cell_id")
+    body = (counts.join(gene_axis.withColumnRenamed("idx", "r"), "feature_id").join(cell_axis.withColumnRenamed("idx", "c"), "cell_id")
             .select(F.lit(2).alias("o"), F.concat_ws(" ", (F.col("r") + 1).cast("string"), (F.col("c") + 1).cast("string"), F.col("value").cast("bigint").cast("string")).alias("line")))
     head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, f"{n_genes} {n_cells} {nnz}")], "o int, line string")
     head.unionByName(body).repartitionByRange(4, "o").sortWithinPartitions("o").select("line").write.text(f"{folder}/matrix.mtx")
     cells = t.cells.withColumn("cell_id", F.concat(F.lit("c"), F.col("cell_id").cast("string")))
-    cells.select("cell_id", "x", "y").write.option("header", True).csv(f"{folder}/positions.csv")
-    cells.select("cell_id", "label").write.option("header", True).csv(f"{folder}/annotations.csv")
-    cells.select("cell_id", F.col("x").alias("x_centroid"), F.col("y").alias("y_centroid"), F.floor(F.abs("qc_balance")).cast("string").alias("transcript_counts"),
-                 F.when(F.col("qc_balance") < 0, "NaN").otherwise(F.col("qc_balance").cast("string")).alias("cell_area")).write.option("header", True).csv(f"{folder}/cells.csv")
-    cells.select(F.col("cell_id").alias("barcode"), F.when(F.col("included"), "1").otherwise("0").alias("in_tissue"), F.lit("0").alias("array_row"), F.lit("0").alias("array_col"),
-                 F.col("y").alias("pxl_row_in_fullres"), F.col("x").alias("pxl_col_in_fullres")).write.csv(f"{folder}/tissue.csv")
+    layouts = {
+        "positions": ["cell_id", "x", "y"], "annotations": ["cell_id", "label"],
+        "cells": ["cell_id", F.col("x").alias("x_centroid"), F.col("y").alias("y_centroid"), F.floor(F.abs("qc_balance")).cast("string").alias("transcript_counts"),
+                  F.when(F.col("qc_balance") < 0, "NaN").otherwise(F.col("qc_balance").cast("string")).alias("cell_area")],
+        "tissue": [F.col("cell_id").alias("barcode"), F.when(F.col("included"), "1").otherwise("0").alias("in_tissue"), F.lit("0").alias("array_row"), F.lit("0").alias("array_col"),
+                   F.col("y").alias("pxl_row_in_fullres"), F.col("x").alias("pxl_col_in_fullres")]}
+    for name in tables:
+        cells.select(*layouts[name]).write.option("header", name != "tissue").csv(f"{folder}/{name}.csv")
 
 
 def _mtx(folder: str) -> tuple[str, str, str]:
@@ -80,14 +82,14 @@ def _label_sql(where: str = "true", scale: str = "1", label: str = "label", gene
 @query("SRC_02_tenx_import", ["cells", "counts"], _label_sql())
 def src_02(t: Tables) -> DataFrame:
     folder = scratch(t)
-    write_tenx(t, folder)
+    write_tenx(t, folder, "positions", "annotations")
     return _per_label(text.read_tenx(t.spark, *_mtx(folder), f"{folder}/positions.csv", f"{folder}/annotations.csv"))
 
 
 @query("SRC_03_xenium_import", ["cells"], "select count(*) as cells, round(sum(floor(abs(qc_balance))),2) as transcripts, count(case when qc_balance<0 then 1 end) as missing_area, round(sum(case when qc_balance>=0 then qc_balance end),2) as area from cells")
 def src_03(t: Tables) -> DataFrame:
     folder = scratch(t)
-    write_tenx(t, folder)
+    write_tenx(t, folder, "cells", "annotations")
     imported, _ = text.read_xenium(t.spark, f"{folder}/cells.csv", *_mtx(folder), annotations=f"{folder}/annotations.csv")
     a = F.col("attributes")
     return imported.cells.agg(F.count("*").alias("cells"), F.round(F.sum(a["transcript_counts"]["num"]), 2).alias("transcripts"),
@@ -98,14 +100,14 @@ def src_03(t: Tables) -> DataFrame:
     (select count(*) from counts where {_RNA}) as source_entries, (select count(*) from counts where {_RNA} and cell_id in (select cell_id from w)) as selected_entries, 'none' as sampling""")
 def src_04(t: Tables) -> DataFrame:
     folder = scratch(t)
-    write_tenx(t, folder)
+    write_tenx(t, folder, "cells")
     return text.read_xenium(t.spark, f"{folder}/cells.csv", *_mtx(folder), allow_unannotated=True, bounds=VIEW)[1]
 
 
 @query("SRC_05_visium_import", ["cells", "counts"], _label_sql("included", "0.5", "'Unannotated'", extra=", 'in_tissue' as region"))
 def src_05(t: Tables) -> DataFrame:
     folder = scratch(t)
-    write_tenx(t, folder)
+    write_tenx(t, folder, "tissue")
     return _per_label(text.read_visium(t.spark, f"{folder}/tissue.csv", *_mtx(folder), 0.5, True, headerless=True, allow_unannotated=True), "region")
 
 

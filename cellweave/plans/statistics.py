@@ -19,7 +19,8 @@ def _xy(t: Tables) -> DataFrame:
 
 
 def _norm(t: Tables) -> DataFrame:
-    return E.normalise(t.counts, live_cells(t))
+    cells = live_cells(t)
+    return E.normalise(t.counts, cells)
 
 
 # --- graphs -----------------------------------------------------------------------------------------

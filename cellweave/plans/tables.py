@@ -23,6 +23,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.live: DataFrame | None = None  # set by the first statistic that needs it
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
