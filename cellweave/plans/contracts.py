@@ -40,9 +40,10 @@ def write_tenx(t: Tables, folder: str, *tables: str) -> None:
         F.concat_ws("\t", "feature_id", "feature_id", F.when(F.col("feature_id").startswith("Brand#5"), "Negative Control").otherwise("Gene Expression"))).write.text(f"{folder}/features.tsv")
     cell_axis.repartitionByRange(2, "idx").sortWithinPartitions("idx").select(F.concat(F.lit("c"), F.col("cell_id").cast("string"))).write.text(f"{folder}/barcodes.tsv")
     body = (counts.join(gene_axis.withColumnRenamed("idx", "r"), "feature_id").join(cell_axis.withColumnRenamed("idx", "c"), "cell_id")
-            .select(F.lit(2).alias("o"), F.concat_ws(" ", (F.col("r") + 1).cast("string"), (F.col("c") + 1).cast("string"), F.col("value").cast("bigint").cast("string")).alias("line")))
+            .select(F.lit(2).alias("o"), "r", "c", F.concat_ws(" ", (F.col("r") + 1).cast("string"), (F.col("c") + 1).cast("string"), F.col("value").cast("bigint").cast("string")).alias("line")))
     head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, f"{n_genes} {n_cells} {nnz}")], "o int, line string")
-    head.unionByName(body).repartitionByRange(4, "o").sortWithinPartitions("o").select("line").write.text(f"{folder}/matrix.mtx")
+    # The range keys spread the entries; the two header lines sort ahead of them.
+    head.unionByName(body, allowMissingColumns=True).repartitionByRange("o", "r", "c").sortWithinPartitions("o").select("line").write.text(f"{folder}/matrix.mtx")
     cells = t.cells.withColumn("cell_id", F.concat(F.lit("c"), F.col("cell_id").cast("string")))
     layouts = {
         "positions": ["cell_id", "x", "y"], "annotations": ["cell_id", "label"],
