@@ -55,6 +55,12 @@ def _arm(records: DataFrame, control: str, case: str) -> DataFrame:
     return means.withColumn("is_case", F.col("condition") == case)
 
 
+def _batches(records: DataFrame, control: str, case: str) -> DataFrame:
+    """Batches per metric; a t test over several batches is refused, not run unadjusted."""
+    batch = F.col("batch") if "batch" in records.columns else F.lit("")
+    return records.filter(F.col("condition").isin(control, case)).groupBy("metric").agg(F.count_distinct(batch).alias("_batches"))
+
+
 def _finish(tests: DataFrame, metrics: DataFrame | None) -> DataFrame:
     tested = F.col("statistic").isNotNull()
     half = F.when(tested, t_critical("degrees_of_freedom")) * F.col("standard_error")
@@ -73,9 +79,10 @@ def welch(records: DataFrame, control: str, case: str, metrics: DataFrame | None
     g = lambda side, f: f(F.when(F.col("is_case") == side, F.col("v")))
     s = arms.groupBy("metric").agg(
         g(False, F.count).alias("n0"), g(True, F.count).alias("n1"), g(False, F.avg).alias("m0"), g(True, F.avg).alias("m1"),
-        g(False, F.var_samp).alias("s0"), g(True, F.var_samp).alias("s1")).join(overlap, "metric")
+        g(False, F.var_samp).alias("s0"), g(True, F.var_samp).alias("s1")).join(overlap, "metric").join(_batches(records, control, case), "metric")
     a, b = F.col("s0") / F.col("n0"), F.col("s1") / F.col("n1")
     reason = (F.when(F.least("n0", "n1") < 3, "fewer_than_three_subjects_per_condition")
+              .when(F.col("_batches") > 1, "several_batches_need_a_mixed_model")
               .when(F.col("k") > 1, "subjects_occur_in_both_conditions").when(~((a + b) > 0), "zero_variance"))
     s = s.withColumn("reason", reason)
     ok = F.col("reason").isNull()
@@ -91,7 +98,9 @@ def paired_t(records: DataFrame, control: str, case: str, metrics: DataFrame | N
     pairs = arms.groupBy("metric", "subject_id").agg(F.max(F.when(~F.col("is_case"), F.col("v"))).alias("v0"), F.max(F.when(F.col("is_case"), F.col("v"))).alias("v1"))
     diff = F.col("v1") - F.col("v0")
     s = pairs.groupBy("metric").agg(F.count("*").alias("_all"), F.count(diff).alias("n"), F.avg(diff).alias("d"), F.stddev_samp(diff).alias("sd"))
+    s = s.join(_batches(records, control, case), "metric")
     reason = (F.when(F.col("n") < F.col("_all"), "unmatched_subjects").when(F.col("n") < 3, "fewer_than_three_subjects_per_condition")
+              .when(F.col("_batches") > 1, "several_batches_need_a_mixed_model")
               .when(F.coalesce("sd", F.lit(0.0)) <= 1e-14, "zero_residual_variance"))
     s = s.withColumn("reason", reason)
     ok, se = F.col("reason").isNull(), F.col("sd") / F.sqrt("n")

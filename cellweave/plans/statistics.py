@@ -481,7 +481,7 @@ def fn_16(t: Tables) -> DataFrame:
 def ml_14(t: Tables) -> DataFrame:
     arms = t.paired_records.groupBy("subject_id", "metric").agg(F.count_distinct("condition").alias("k"))
     broken = arms.filter("k < 2").select("subject_id").distinct()
-    out = study.paired_t(t.paired_records.join(broken, "subject_id", "left_anti"), "control", "case")
+    out = study.paired_t(t.paired_records.drop("batch").join(broken, "subject_id", "left_anti"), "control", "case")
     return rounded(out.select("metric", "n0", "n1", *_T_OUT), "effect", "standard_error", "statistic")
 
 
