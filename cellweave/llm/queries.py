@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, url_filter
+from . import best_fit, byte_bpe, exact_dedup, packed_ids, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,12 @@ def op4(spark: SparkSession, path: str) -> DataFrame:
     return byte_bpe.encode_decode(read(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op5_packed_ids")
+def op5(spark: SparkSession, path: str) -> DataFrame:
+    packed = packed_ids.pack_matrices(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts")
+
+
 @query("op6_url_filter", """
 with recursive page as (select page_id, url, html, coalesce(regexp_extract(url, '(?s)^(.*?://)([^/?#]*)([^?#]*)(\\?[^#]*)?', 1), '') scheme,
     translate(coalesce(regexp_extract(url, '(?s)^(.*?://)([^/?#]*)([^?#]*)(\\?[^#]*)?', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
@@ -65,3 +72,8 @@ from documents window g as (partition by coalesce(text, ''))
 """)
 def op8(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, path, "documents"))
+
+
+@query("op10_best_fit")
+def op10(spark: SparkSession, path: str) -> DataFrame:
+    return best_fit.pack(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
