@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, exact_dedup, packed_ids, url_filter
+from . import best_fit, byte_bpe, exact_dedup, packed_ids, secret_scan, token_counts, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, path: str) -> DataFrame:
+    return secret_scan.scan(read(spark, path, "documents"))
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, path: str) -> DataFrame:
     return byte_bpe.encode_decode(read(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -66,6 +71,11 @@ def op6(spark: SparkSession, path: str) -> DataFrame:
     return url_filter.judge(read(spark, path, "pages"))
 
 
+@query("op7_token_counts")
+def op7(spark: SparkSession, path: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, path, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op8_exact_dedup", """
 select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept, sha256(coalesce(text, '')) text_sha256
 from documents window g as (partition by coalesce(text, ''))
