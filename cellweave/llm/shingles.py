@@ -58,22 +58,16 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         start = min(stop, n)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first word (n + 1 long).
-
-    Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.
-    """
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+def _run_hashes(offsets: np.ndarray, data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of equal ``kind`` other than 0, and for each text the index of its first run (n + 1 long)."""
+    begins, ends = kind != 0, kind != 0
+    change = kind[1:] != kind[:-1]
+    begins[1:] &= change
+    ends[:-1] &= change
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(data))]
-    begins[cut] = inside[cut]
-    ends[cut - 1] = inside[cut - 1]
+    begins[cut] = kind[cut] != 0
+    ends[cut - 1] = kind[cut - 1] != 0
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     up, down = _POWERS.upto(len(data))
     value = data.astype(np.uint64)
@@ -86,6 +80,30 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.searchsorted(first, offsets)
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_WORD_KIND = np.where(_SPACES, 0, 1).astype(np.uint8)
+#: 0 white space, 1 letters, digits and bytes beyond ASCII, 2 the other ASCII bytes.
+_SPAN_KIND = np.array([0 if _SPACES[b] else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
+
+
+def _hashes(offsets: np.ndarray, data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _run_hashes(offsets, data, kinds[data]) if len(data) else (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text the index of its first word (n + 1 long).
+
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.
+    """
+    return _hashes(offsets, data, _WORD_KIND)
+
+
+def spans_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with runs of ASCII marks apart from runs of letters, digits and other characters."""
+    return _hashes(offsets, data, _SPAN_KIND)
+
+
 def shingle_sets(texts: pa.Array):
     """Yield for each text its sorted distinct shingle hashes (uint64).
 
