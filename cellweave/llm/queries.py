@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, exact_dedup, packed_ids, quality, secret_scan, token_counts, url_filter
+from . import ann, best_fit, byte_bpe, exact_dedup, packed_ids, quality, secret_scan, token_counts, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op8(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, path, "documents"))
 
 
+@query("op9_cross_polytope")
+def op9(spark: SparkSession, path: str) -> DataFrame:
+    return ann.search(read(spark, path, "embeddings"))
+
+
 @query("op10_best_fit")
 def op10(spark: SparkSession, path: str) -> DataFrame:
     return best_fit.pack(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
