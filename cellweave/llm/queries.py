@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, byte_bpe, exact_dedup, packed_ids, quality, secret_scan, token_counts, url_filter
+from . import ann, best_fit, byte_bpe, exact_dedup, ngram_join, packed_ids, quality, secret_scan, token_counts, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, path: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, path, "documents"))
+
+
 @query("op2_quality")
 def op2(spark: SparkSession, path: str) -> DataFrame:
     return quality.score(read(spark, path, "documents"), read(spark, path, "labels"))
