@@ -1,18 +1,46 @@
 """A corpus pipeline of stages that each call one operator of ``cellweave.llm``."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import exact_dedup
+from cellweave.llm import best_fit, exact_dedup, ngram_join, quality, secret_scan
 from cellweave.llm.common import read, written
 
 
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each exact text stays."""
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels outside the held-out fold."""
+    return quality.drop_rejected(docs, read(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by shingle links, the one with the smallest doc_id stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets found in their texts are masked."""
+    return secret_scan.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents and their places in sequences of 4096 tokens."""
+    return best_fit.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_copies),
+    ("ngram_join", near_copies),
+    ("secret_scan", secrets),
+    ("best_fit_packing", packing),
+]
+#: The classifier, the token ids and the packing have no SQL form; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
