@@ -38,29 +38,37 @@ def _one(df: DataFrame) -> DataFrame:
 
 
 def panel_summary(cells: DataFrame, counts: DataFrame, features: DataFrame, genes: Sequence[str] | None = None) -> DataFrame:
-    """Mean, sum, non-zero and zero counts per gene over all given cells, excluded ones included."""
+    """Mean, sum, non-zero and zero counts per gene over all given cells, excluded ones included.
+
+    A listed name is a feature id, or a symbol that exactly one feature carries; a symbol of several is ambiguous and
+    a name of none unmeasured, and neither gets measures.
+    """
     total = _one(cells.agg(F.count("*").alias("cell_count")))
     sums = select_ids(counts, cells).groupBy("feature_id").agg(F.sum("value").alias("_s"), F.count_if(F.col("value") > 0).alias("_nz"))
     if genes is None:
-        asked = features.select("feature_id").withColumn("_on", F.lit(True))
+        asked = features.select("feature_id", F.col("feature_id").alias("name"), F.lit(1).alias("_found"))
     else:
-        panel = features.select("feature_id").distinct().withColumn("_on", F.lit(True))
-        listed = cells.sparkSession.createDataFrame([(g,) for g in genes], "feature_id string")
-        asked = listed.join(panel, "feature_id", "left")
+        by_id = features.filter(F.col("feature_id").isin(*genes)).select(F.col("feature_id").alias("name"), "feature_id", F.lit(0).alias("_rank"))
+        by_symbol = features.filter(F.col("symbol").isin(*genes)).select(F.col("symbol").alias("name"), "feature_id", F.lit(1).alias("_rank"))
+        matches = by_id.unionByName(by_symbol).distinct().withColumn("_first", F.min("_rank").over(W.partitionBy("name"))).filter("_rank = _first")
+        found = matches.groupBy("name").agg(F.count("*").alias("_found"), F.min("feature_id").alias("feature_id"))
+        listed = cells.sparkSession.createDataFrame([(g,) for g in genes], "name string")
+        asked = listed.join(found, "name", "left").withColumn("feature_id", F.when(F.col("_found") == 1, F.col("feature_id")))
     out = _one(asked.join(sums, "feature_id", "left")).join(F.broadcast(total), "_k")  # total: one row
-    on = F.col("_on").isNotNull()
+    on = F.coalesce(F.col("_found") == 1, F.lit(False))
     filled = F.coalesce("_s", F.lit(0.0))
     nonzero = F.coalesce("_nz", F.lit(0))
     return out.select(
-        "feature_id", F.when(~on, "unmeasured").when(F.col("cell_count") == 0, "no_selected_cells").otherwise("measured").alias("status"),
+        F.col("name").alias("feature_id"), F.when(F.col("_found") > 1, "ambiguous").when(~on, "unmeasured").when(F.col("cell_count") == 0, "no_selected_cells").otherwise("measured").alias("status"),
         F.when(on & (F.col("cell_count") > 0), filled / F.col("cell_count")).alias("mean"), F.when(on, filled).alias("sum"),
         F.when(on, nonzero).alias("nonzero_cells"), F.when(on, F.col("cell_count") - nonzero).alias("zero_cells"), "cell_count")
 
 
-def region_summary(cells: DataFrame, counts: DataFrame, genes: Sequence[str], by: Sequence[str] = ("region",)) -> DataFrame:
+def region_summary(cells: DataFrame, counts: DataFrame, features: DataFrame, genes: Sequence[str], by: Sequence[str] = ("region",)) -> DataFrame:
     """Per region and gene over included cells; the per-10k mean skips zero-library cells only.
 
-    ``genes`` must be measured (at most a hundred by contract), so the zero-filled grid is an explode.
+    A gene that is not on the panel (``features``) is unmeasured: its row stays, without measures. The asked genes
+    are a declared list, so the zero-filled grid is an explode.
     """
     by = list(by)
     active = cells.filter("included").select("cell_id", *by)
@@ -70,13 +78,15 @@ def region_summary(cells: DataFrame, counts: DataFrame, genes: Sequence[str], by
     picked = counts.filter(F.col("feature_id").isin(*genes) & (F.col("value") > 0))
     sums = with_lib.join(picked, "cell_id").groupBy(*by, "feature_id").agg(
         F.sum("value").alias("_s"), F.count("*").alias("_nz"), F.sum(F.when(F.col("_lib") > 0, F.col("value") / F.col("_lib") * 10000)).alias("_n"))
+    panel = features.filter(F.col("feature_id").isin(*genes)).select("feature_id", F.lit(True).alias("_on")).distinct()
     grid = denominators.withColumn("feature_id", F.explode(F.array(*[F.lit(g) for g in genes])))
-    out = grid.join(sums, [*by, "feature_id"], "left")
+    out = grid.join(panel, "feature_id", "left").join(sums, [*by, "feature_id"], "left")
+    on = F.col("_on").isNotNull()
     n, m = F.col("included_count"), F.col("normalized_denominator")
     return out.select(
-        *by, "feature_id", n, m, (n - m).alias("zero_library_observations"),
-        (F.coalesce("_s", F.lit(0.0)) / n).alias("mean_raw_count"), (F.coalesce("_nz", F.lit(0)) / n).alias("detection_fraction"),
-        F.when(m > 0, F.coalesce("_n", F.lit(0.0)) / m).alias("mean_panel_counts_per_10000"))
+        *by, "feature_id", F.when(on, "measured").otherwise("unmeasured").alias("status"), n, m, (n - m).alias("zero_library_observations"),
+        F.when(on, F.coalesce("_s", F.lit(0.0)) / n).alias("mean_raw_count"), F.when(on, F.coalesce("_nz", F.lit(0)) / n).alias("detection_fraction"),
+        F.when(on & (m > 0), F.coalesce("_n", F.lit(0.0)) / m).alias("mean_panel_counts_per_10000"))
 
 
 def tag_regions(cells: DataFrame, foreground: DataFrame, background: DataFrame | None = None) -> DataFrame:
@@ -112,9 +122,9 @@ def label_contrast(tagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "difference", F.col("foreground") - F.col("background"))
 
 
-def marker_contrast(tagged: DataFrame, counts: DataFrame, genes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def marker_contrast(tagged: DataFrame, counts: DataFrame, features: DataFrame, genes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Foreground minus background of the three region measures, long by measure."""
-    summary = region_summary(tagged, counts, genes, [*by, "side"])
+    summary = region_summary(tagged, counts, features, genes, [*by, "side"])
     measures = ["mean_raw_count", "detection_fraction", "mean_panel_counts_per_10000"]
     long = summary.unpivot([*by, "side", "feature_id"], measures, "measure", "v")
     return _contrast(long, [*by, "feature_id", "measure"])

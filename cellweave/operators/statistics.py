@@ -10,6 +10,20 @@ from .ranking import benjamini_hochberg, cumulative_counts, permutations
 SLOTS = 32  # features per block row: wide columns keep the permutation sums inside generated code
 
 
+MIN_PERMUTATIONS = 19
+TIE = 1e-12  # replicates are summed in any order, so equal scores may differ in their last bits
+
+
+def enough(permutation_count: int) -> None:
+    if permutation_count < MIN_PERMUTATIONS:
+        raise ValueError(f"a permutation test takes at least {MIN_PERMUTATIONS} replicates")
+
+
+def reaches(score: Column, observed: Column) -> Column:
+    """Whether a replicate's score is at least the observed one, up to rounding."""
+    return score >= observed - TIE * F.greatest(F.lit(1.0), F.abs(observed))
+
+
 def _blocked(values: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cell_id, block, y0..y31) and the feature -> (block, slot) map; all-zero blocks are not stored."""
     index = cumulative_counts(features, [], "feature_id").select(
@@ -57,6 +71,7 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
     I = n/S0 * (sum w y_i y_j - 2 m sum deg_i y_i + m^2 S0) / sum (y - m)^2, so a permutation only moves the
     first two sums and all-zero blocks never travel.
     """
+    enough(permutation_count)
     ids, graph, detected = materialise(ids.select("cell_id")), materialise(graph), materialise(detected)
     n = ids.count()
     eligible = detected.filter(F.col("detected") >= min_detected).select("feature_id")
@@ -84,7 +99,7 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
     scored = materialise(joined.filter(F.col("d") > 1e-12).select("feature_id", "perm", score.alias("i")))
     observed = scored.filter("perm = 0").select("feature_id", F.col("i").alias("morans_i"))
     exceed = (scored.filter("perm > 0").join(observed, "feature_id").groupBy("feature_id")
-              .agg(F.count_if(F.col("i") >= F.col("morans_i")).alias("exceed")))
+              .agg(F.count_if(reaches(F.col("i"), F.col("morans_i"))).alias("exceed")))
     rows = detected.join(observed, "feature_id", "left").join(exceed, "feature_id", "left").select(
         "feature_id", "detected",
         F.when(F.col("detected") < min_detected, "below_detection_filter").when(F.col("morans_i").isNull(), "constant_after_normalization")
@@ -118,31 +133,60 @@ def entity_expression(values: DataFrame, entities: DataFrame) -> DataFrame:
             .filter("_k = size and value > 0").select("entity", "cell_id", "value"))
 
 
-def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, graph: DataFrame, ids: DataFrame, *,
-                    permutation_count: int = 99, seed: int = 0) -> DataFrame:
-    """Spatial co-expression per pair: (1/n) sum a_i w~_ij b_j with row-normalised weights, receptors permuted.
+def _sides(values: DataFrame, features: DataFrame, pairs: DataFrame, graph: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(verdict, expression, index, ligand side, receptor side) of the testable pairs.
 
-    Ligand sides are folded over the graph once (c_j = sum_i a_i w~_ij), so a permutation replicate is one
-    join of c with moved receptor values and never touches the edges again.
+    Ligand sides are folded over the graph once, c_j = sum_i a_i w~_ij with row-normalised weights. Both sides are
+    held in rows of 32 pairs, so a replicate moves one row of a cell for all of them.
     """
     ids, graph = materialise(ids.select("cell_id")), materialise(graph)
-    n = ids.count()
     entities, verdict = (materialise(df) for df in resolve_pairs(pairs, features))
     expr = materialise(entity_expression(values.join(ids, "cell_id", "left_semi"), entities))
-    out_weight = graph.groupBy("src").agg(F.sum("w").alias("_t"))
-    weights = graph.join(out_weight, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
-    testable = verdict.filter("testable").select("ligand", "receptor")
-    ligands = expr.join(testable.select(F.col("ligand").alias("entity")).distinct(), "entity", "left_semi")
+    testable = verdict.filter("testable").select("ligand", "receptor", F.concat_ws("\t", "ligand", "receptor").alias("pair"))
+    index = materialise(cumulative_counts(testable.select("pair").distinct(), [], "pair").join(testable.distinct(), "pair").select(
+        "ligand", "receptor", F.floor(F.col("before") / SLOTS).cast("int").alias("block"), F.pmod("before", F.lit(SLOTS)).cast("int").alias("slot")))
+    weights = graph.join(graph.groupBy("src").agg(F.sum("w").alias("_t")), "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
+    ligands = expr.join(index.select(F.col("ligand").alias("entity")).distinct(), "entity", "left_semi")
     folded = (ligands.join(weights, F.col("cell_id") == F.col("src")).groupBy(F.col("entity").alias("ligand"), F.col("dst").alias("cell_id"))
-              .agg(F.sum(F.col("value") * F.col("w")).alias("c")))
-    receptors = expr.select(F.col("entity").alias("receptor"), F.col("cell_id").alias("from_id"), F.col("value").alias("b"))
-    placed = permutations(ids, permutation_count, seed)
-    per_perm = materialise(
-        folded.join(testable, "ligand").join(placed, "cell_id").join(receptors, ["receptor", "from_id"])
-        .groupBy("ligand", "receptor", "perm").agg((F.sum(F.col("c") * F.col("b")) / n).alias("s")))
+              .agg(F.sum(F.col("value") * F.col("w")).alias("v")))
+    receptors = expr.select(F.col("entity").alias("receptor"), F.col("cell_id").alias("from_id"), F.col("value").alias("v"))
+
+    def rows(side: DataFrame, entity: str, cell: str, p: str) -> DataFrame:
+        return materialise(side.join(index, entity).groupBy(cell, "block").agg(
+            *[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("v"))), F.lit(0.0)).alias(f"{p}{i}") for i in range(SLOTS)]))
+
+    return verdict, expr, index, rows(folded, "ligand", "cell_id", "c"), rows(receptors, "receptor", "from_id", "r")
+
+
+def _scores(placed: DataFrame, index: DataFrame, left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """(perm, ligand, receptor, s): sum of c_j b_j over positions, divided by the number of cells."""
+    sums = placed.join(left, "cell_id").join(right, ["from_id", "block"]).groupBy("perm", "block").agg(
+        *[(F.sum(F.col(f"c{i}") * F.col(f"r{i}")) / n).alias(f"s{i}") for i in range(SLOTS)])
+    every = F.array(*[F.col(f"s{i}") for i in range(SLOTS)])
+    return sums.join(index, "block").select("perm", "ligand", "receptor", every[F.col("slot")].alias("s"))
+
+
+def pair_scores(values: DataFrame, features: DataFrame, pairs: DataFrame, graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ligand, receptor, score) of the testable pairs as observed: (1/n) sum a_i w~_ij b_j, without any replicate."""
+    _, _, index, left, right = _sides(values, features, pairs, graph, ids)
+    placed = ids.select(F.lit(0).alias("perm"), "cell_id", F.col("cell_id").alias("from_id"))
+    found = _scores(placed, index, left, right, ids.count()).drop("perm")
+    return index.join(found, ["ligand", "receptor"], "left").select("ligand", "receptor", F.coalesce("s", F.lit(0.0)).alias("score"))
+
+
+def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, graph: DataFrame, ids: DataFrame, *,
+                    permutation_count: int = 199, seed: int = 0) -> DataFrame:
+    """Spatial co-expression per pair, receptors permuted over the cells; every pair keeps a row.
+
+    A replicate is one join of the ligand rows with moved receptor rows and never touches the edges again.
+    """
+    enough(permutation_count)
+    verdict, expr, index, left, right = _sides(values, features, pairs, graph, ids)
+    n = ids.count()
+    per_perm = materialise(_scores(permutations(ids, permutation_count, seed), index, left, right, n))
     observed = per_perm.filter("perm = 0").select("ligand", "receptor", F.col("s").alias("_obs"))
     keys = ["ligand", "receptor"]
-    exceed = (per_perm.filter("perm > 0").join(observed, keys).groupBy(*keys).agg(F.count_if(F.col("s") >= F.col("_obs")).alias("_e")))
+    exceed = (per_perm.filter("perm > 0").join(observed, keys).groupBy(*keys).agg(F.count_if(reaches(F.col("s"), F.col("_obs"))).alias("_e")))
     seen = expr.groupBy("entity").agg((F.count("*") / n).alias("_d"))
     rows = (verdict.join(observed, keys, "left").join(exceed, keys, "left")
             .join(seen.withColumnsRenamed({"entity": "ligand", "_d": "_ld"}), "ligand", "left")

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import affine_struct_problem
 from ..operators import integration as I, protein as PR, revisions as R, validate as V
+from ..operators.models import feature_order
 from ..session import ensure_checkpoint_dir, materialise
 from ..sources import registry, sinks, text
 from .annotation import _proposal, rounded
-from .measurement import live_cells
+from .measurement import channels, live_cells
 from .registry import query
 from .statistics import _partitions, _transport
-from .tables import GENES, PROGRAM_A, PROGRAM_B, VIEW, Tables
+from .tables import PROGRAM_A, PROGRAM_B, VIEW, Tables
 
 
 def scratch(t: Tables) -> str:
@@ -113,25 +114,23 @@ def src_05(t: Tables) -> DataFrame:
 
 
 def _wide_export(t: Tables, folder: str, ids: list, named: list) -> None:
-    wide = sinks.wide(t.cells, t.counts, GENES, True)
+    panel = feature_order(t.features)
+    wide = sinks.wide(t.cells, t.counts, panel, True)
     joined = wide.join(t.cells.select("cell_id", "x", "y", "region"), "cell_id")
-    joined.select(*ids, *[F.col(f"`{g}`").cast("bigint").alias(g) for g in GENES]).write.option("header", True).csv(f"{folder}/counts.csv")
+    joined.select(*ids, *[F.col(f"`{g}`").cast("bigint").alias(g) for g in panel]).write.option("header", True).csv(f"{folder}/counts.csv")
     joined.select(*named).write.option("header", True).csv(f"{folder}/metadata.csv")
 
 
-_GENE_LIST = "feature_id in (" + ",".join(f"'{g}'" for g in GENES) + ")"
-
-
-@query("SRC_06_cosmx_import", ["cells", "counts"], _label_sql("c.cell_id%50<>0", "0.12", "'Unannotated'", _GENE_LIST))
+@query("SRC_06_cosmx_import", ["cells", "counts"], _label_sql("c.cell_id%50<>0", "0.12", "'Unannotated'", "true"))
 def src_06(t: Tables) -> DataFrame:
     folder = scratch(t)
     cell = F.when(F.col("cell_id") % 50 == 0, "0").otherwise(F.col("cell_id").cast("string")).alias("cell_ID")
     fov = F.when(F.col("cell_id") % 50 == 0, F.concat(F.lit("u"), F.col("cell_id").cast("string"))).otherwise(F.col("region")).alias("fov")
     _wide_export(t, folder, [fov, cell], [fov, cell, F.col("x").alias("CenterX_global_px"), F.col("y").alias("CenterY_global_px")])
-    return _per_label(text.read_cosmx(t.spark, f"{folder}/metadata.csv", f"{folder}/counts.csv", 0.12, GENES, exclude_unassigned=True, allow_unannotated=True))
+    return _per_label(text.read_cosmx(t.spark, f"{folder}/metadata.csv", f"{folder}/counts.csv", 0.12, feature_order(t.features), exclude_unassigned=True, allow_unannotated=True))
 
 
-@query("SRC_07_merscope_import", ["cells", "counts"], _label_sql("true", "1", "'Unannotated'", _GENE_LIST))
+@query("SRC_07_merscope_import", ["cells", "counts"], _label_sql("true", "1", "'Unannotated'", "true"))
 def src_07(t: Tables) -> DataFrame:
     folder = scratch(t)
     _wide_export(t, folder, [F.col("cell_id").alias("cell")], [F.col("cell_id").alias("EntityID"), F.col("x").alias("center_x"), F.col("y").alias("center_y")])
@@ -167,9 +166,9 @@ def src_11(t: Tables) -> DataFrame:
     return V.id_sets(k, declared).select(F.col("left_only").alias("unknown_cells"), F.col("right_only").alias("empty_cells"))
 
 
-@query("SRC_12_protein_table", ["cells", "protein"], "select cast(c.cell_id as varchar) as cell_id, f.p_type as feature_id, round(p.value,2) as value from cells c cross join (select distinct p_type from part order by 1 limit 3) f left join protein p on p.cell_id=c.cell_id and p.feature_id=f.p_type")
+@query("SRC_12_protein_table", ["cells", "protein"], "select cast(c.cell_id as varchar) as cell_id, f.p_type as feature_id, round(p.value,2) as value from cells c cross join (select distinct p_type from part) f left join protein p on p.cell_id=c.cell_id and p.feature_id=f.p_type")
 def src_12(t: Tables) -> DataFrame:
-    names = [r[0] for r in t.raw("part").select("p_type").distinct().orderBy("p_type").limit(3).collect()]
+    names = channels(t)
     folder = scratch(t)
     sinks.wide(t.cells, t.protein, names, False).join(t.cells.select("cell_id", "x", "y"), "cell_id").write.option("header", True).csv(folder)
     return rounded(text.read_protein(t.spark, folder, "cell_id", "x", "y")[1], "value", digits=2)
@@ -213,13 +212,17 @@ def snk_01(t: Tables) -> DataFrame:
     return sinks.write_review(scratch(t), tables).select("table", "row_count")
 
 
-@query("SNK_02_matched_inputs", ["cells_r2", "counts", "protein"], f"""select c.cell_id, coalesce(max(case when k.feature_id='Brand#11' then k.value end),0) as rna, (select max(p.value) from protein p where p.cell_id=c.cell_id and p.feature_id=(select min(p_type) from part)) as protein
-    from cells_r2 c left join counts k on k.cell_id=c.cell_id where c.included group by c.cell_id""")
+@query("SNK_02_matched_inputs", ["cells_r2", "counts", "protein", "features"], """select a.cell_id, a.kind, a.feature_id, coalesce(k.value, case when a.kind='rna' then 0 end) as value
+    from (select c.cell_id, v.* from cells_r2 c, (select 'rna' as kind, feature_id from features union all select distinct 'protein', p_type from part) v where c.included) a
+    left join (select 'rna' as kind, * from counts union all select 'protein', * from protein) k using (cell_id, kind, feature_id)""")
 def snk_02(t: Tables) -> DataFrame:
-    name = t.raw("part").agg(F.min("p_type")).first()[0]
-    out = sinks.matched_inputs(t.at("r2"), t.counts, t.protein, GENES, [name])
-    both = out["rna_counts"].join(out["protein_counts"], "cell_id")
-    return both.select("cell_id", F.col("`Brand#11`").alias("rna"), F.col(f"`{name}`").alias("protein"))
+    folder, kinds = scratch(t), {"rna": feature_order(t.features), "protein": channels(t)}
+    tables = sinks.matched_inputs(t.at("r2"), t.counts, t.protein, t.features, kinds["rna"], kinds["protein"])
+    sinks.write_matched_inputs(folder, tables)
+    read = lambda kind: text.read_table(t.spark, f"{folder}/{kind}_counts").withColumn("kind", F.lit(kind))
+    back = [read(kind).select(F.col("cell_id").cast("bigint").alias("cell_id"), "kind", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+            .unpivot(["cell_id", "kind"], [f"`{n}`" for n in names], "feature_id", "value") for kind, names in kinds.items()]
+    return back[0].unionByName(back[1])
 
 
 def _fit(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -14,18 +14,18 @@ _G = ",".join(f"'{g}'" for g in GENES)
 
 
 
-def _channels(t: Tables, n: int = 4) -> list[str]:
-    """The first protein channels by name (a panel-sized list)."""
-    return [r[0] for r in t.raw("part").select("p_type").distinct().orderBy("p_type").limit(n).collect()]
+def channels(t: Tables) -> list[str]:
+    """All protein channels by name (the declared panel)."""
+    return [r[0] for r in t.raw("part").select("p_type").distinct().orderBy("p_type").collect()]
 
 
-_CH = "(select distinct p_type from part order by p_type limit 4)"
+_CH = "(select distinct p_type from part)"
 
 
 @query("FLT_11_display_transform", ["protein"], f"""select cell_id, feature_id, round(ln(1+value),8) as log1p_value, round(asinh(value/5.0::double),8) as asinh_value from protein where feature_id in {_CH}""")
 def flt_11(t: Tables) -> DataFrame:
     v = F.col("value")
-    out = t.protein.filter(F.col("feature_id").isin(*_channels(t))).select(
+    out = t.protein.filter(F.col("feature_id").isin(*channels(t))).select(
         "cell_id", "feature_id", numeric.display_transform(v, "log1p").alias("log1p_value"), numeric.display_transform(v, "asinh", 5.0).alias("asinh_value"))
     return rounded(out, "log1p_value", "asinh_value")
 
@@ -102,21 +102,25 @@ def live_cells(t: Tables) -> DataFrame:
 @query("AGG_07_selection_expression", ["cells", "roi", "counts", "features"], f"""with n as (select count(*) as n from roi), k as (select feature_id, sum(value) as s, count(case when value>0 then 1 end) as nz from counts where cell_id in (select cell_id from roi) group by 1)
     select g as feature_id, case when f.feature_id is null then 'unmeasured' else 'measured' end as status, case when f.feature_id is not null then round(coalesce(s,0)/n,8) end as mean, case when f.feature_id is not null then coalesce(s,0) end as sum,
     case when f.feature_id is not null then coalesce(nz,0) end as nonzero_cells, case when f.feature_id is not null then n-coalesce(nz,0) end as zero_cells, n as cell_count
-    from (values ('Brand#11'),('Brand#23'),('Brand#99')) v(g) left join features f on f.feature_id=g left join k on k.feature_id=g, n""")
+    from (values ('Brand#11'),('Brand#23'),('Brand#99')) v(g) left join features f on f.feature_id=g left join k on k.feature_id=g, n
+    union all select 'Double', 'ambiguous', null, null, null, null, n from n""")
 def agg_07(t: Tables) -> DataFrame:
     chosen = t.cells.join(t.roi, "cell_id", "left_semi")
-    return rounded(E.panel_summary(chosen, t.counts, t.features, ["Brand#11", "Brand#23", "Brand#99"]), "mean")
+    doubled = t.features.filter("feature_id in ('Brand#12', 'Brand#13')").withColumn("symbol", F.lit("Double"))
+    panel = t.features.filter("feature_id not in ('Brand#12', 'Brand#13')").unionByName(doubled)
+    return rounded(E.panel_summary(chosen, t.counts, panel, ["Brand#11", "Brand#23", "Brand#99", "Double"]), "mean")
 
 
 
 
-@query("AGG_08_region_summary", ["cells_r2", "counts", "libs"], f"""with a as (select c.cell_id, c.region, l.library from cells_r2 c join libs l using (cell_id) where c.included),
+@query("AGG_08_region_summary", ["cells_r2", "counts", "libs", "features"], f"""with a as (select c.cell_id, c.region, l.library from cells_r2 c join libs l using (cell_id) where c.included),
     d as (select region, count(*) as n, count(case when library>0 then 1 end) as m from a group by region),
     s as (select a.region, k.feature_id, sum(k.value) as s, count(*) as nz, sum(k.value/a.library*10000) as p from a join counts k using (cell_id) where k.feature_id in ({_G}) and k.value>0 group by 1,2)
-    select d.region, g as feature_id, n as included_count, m as normalized_denominator, n-m as zero_library_observations, round(coalesce(s,0)/n,8) as mean_raw_count, round(coalesce(nz,0)/n::double,8) as detection_fraction,
-    case when m>0 then round(coalesce(p,0)/m,6) end as mean_panel_counts_per_10000 from d cross join (select unnest([{_G}]) as g) left join s on s.region=d.region and s.feature_id=g""")
+    select d.region, g as feature_id, case when f.feature_id is null then 'unmeasured' else 'measured' end as status, n as included_count, m as normalized_denominator, n-m as zero_library_observations,
+    case when f.feature_id is not null then round(coalesce(s,0)/n,8) end as mean_raw_count, case when f.feature_id is not null then round(coalesce(nz,0)/n::double,8) end as detection_fraction,
+    case when f.feature_id is not null and m>0 then round(coalesce(p,0)/m,6) end as mean_panel_counts_per_10000 from d cross join (select unnest([{_G}]) as g) left join features f on f.feature_id=g left join s on s.region=d.region and s.feature_id=g""")
 def agg_08(t: Tables) -> DataFrame:
-    out = E.region_summary(t.at("r2"), t.counts, GENES)
+    out = E.region_summary(t.at("r2"), t.counts, t.features, GENES)
     return rounded(rounded(out, "mean_raw_count", "detection_fraction"), "mean_panel_counts_per_10000", digits=6)
 
 
@@ -135,15 +139,16 @@ def agg_09(t: Tables) -> DataFrame:
     return rounded(_label_contrasts(t), "before_difference", "after_difference", "difference_delta")
 
 
-@query("AGG_09_marker_contrast", ["cells_r2", "roi", "counts", "libs"], f"""with a as (select c.cell_id, case when r.cell_id is null then 'background' else 'foreground' end as side, l.library from cells_r2 c join libs l using (cell_id) left join roi r on r.cell_id=c.cell_id where c.included),
+@query("AGG_09_marker_contrast", ["cells_r2", "roi", "counts", "libs", "features"], f"""with a as (select c.cell_id, case when r.cell_id is null then 'background' else 'foreground' end as side, l.library from cells_r2 c join libs l using (cell_id) left join roi r on r.cell_id=c.cell_id where c.included),
     d as (select side, count(*) as n, count(case when library>0 then 1 end) as m from a group by side),
     s as (select a.side, k.feature_id, sum(k.value) as s, count(*) as nz, sum(k.value/a.library*10000) as p from a join counts k using (cell_id) where k.feature_id in ({_G}) and k.value>0 group by 1,2),
-    f as (select d.side, g as feature_id, coalesce(s,0)/n as v1, coalesce(nz,0)/n::double as v2, coalesce(p,0)/m as v3 from d cross join (select unnest([{_G}]) as g) left join s on s.side=d.side and s.feature_id=g),
+    f as (select d.side, g as feature_id, case when t.feature_id is not null then coalesce(s,0)/n end as v1, case when t.feature_id is not null then coalesce(nz,0)/n::double end as v2, case when t.feature_id is not null then coalesce(p,0)/m end as v3
+        from d cross join (select unnest([{_G}]) as g) left join features t on t.feature_id=g left join s on s.side=d.side and s.feature_id=g),
     u as (select side, feature_id, 'mean_raw_count' as measure, v1 as v from f union all select side, feature_id, 'detection_fraction', v2 from f union all select side, feature_id, 'mean_panel_counts_per_10000', v3 from f)
     select feature_id, measure, round(max(case when side='foreground' then v end),6) as foreground, round(max(case when side='background' then v end),6) as background,
     round(max(case when side='foreground' then v end)-max(case when side='background' then v end),6) as difference from u group by 1,2""")
 def agg_09_markers(t: Tables) -> DataFrame:
-    return rounded(E.marker_contrast(E.tag_regions(t.at("r2"), t.roi), t.counts, GENES), "foreground", "background", "difference", digits=6)
+    return rounded(E.marker_contrast(E.tag_regions(t.at("r2"), t.roi), t.counts, t.features, GENES), "foreground", "background", "difference", digits=6)
 
 
 @query("AGG_10_quality_fields", ["attrs"], """select field, count(*) as observation_count, count(case when kind='num' and num>=0 then 1 end) as valid_count, count(case when kind='absent' then 1 end) as absent_count, count(case when kind='null' then 1 end) as null_count,
@@ -183,11 +188,11 @@ _PV = f"pv as (select c.cell_id, c.label, c.region, f.p_type as feature_id, p.va
 @query("AGG_13_protein_channels", ["cells_r2", "protein"], f"""with {_PV} select feature_id, count(*) as included_count, count(value) as measured_count, count(case when value=0 then 1 end) as zero_count, round(avg(value),4) as mean_raw,
     round(avg(asinh(value/5.0::double)),8) as mean_transformed, round(median(value),4) as median_raw, count(*)-count(value) as missing_count from pv group by feature_id""")
 def agg_13(t: Tables) -> DataFrame:
-    return rounded(rounded(PR.channel_summary(t.at("r2"), t.protein, _channels(t), "asinh"), "mean_transformed"), "mean_raw", "median_raw", digits=4)
+    return rounded(rounded(PR.channel_summary(t.at("r2"), t.protein, channels(t), "asinh"), "mean_transformed"), "mean_raw", "median_raw", digits=4)
 
 
 def _protein_contrast(t: Tables, revision: str | None) -> DataFrame:
-    return PR.region_contrast(E.tag_regions(t.at(revision), t.roi), t.protein, _channels(t), "log1p")
+    return PR.region_contrast(E.tag_regions(t.at(revision), t.roi), t.protein, channels(t), "log1p")
 
 
 def _pc_sql(cells: str) -> str:
@@ -206,7 +211,7 @@ _PAIRS = f"""pr as (select p.cell_id, p.feature_id, p.value as protein_value, co
 
 @query("JOIN_07_rna_protein_pairs", ["cells_r2", "protein", "counts", "libs"], f"with {_PAIRS} select cell_id, feature_id, round(protein_value,4) as protein_value, rna_raw, round(rna_per_10k,6) as rna_per_10k from pr")
 def join_07(t: Tables) -> DataFrame:
-    out = PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", _channels(t))
+    out = PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", channels(t))
     return rounded(rounded(out, "rna_per_10k", digits=6), "protein_value", digits=4)
 
 
@@ -217,12 +222,12 @@ _RANKED = """u as (select feature_id, 'raw' as measure, cell_id, rna_raw as a, p
 
 @query("AGG_15_spearman", ["cells_r2", "protein", "counts", "libs"], f"with {_PAIRS}, {_RANKED} select feature_id, measure, count(*) as n, case when count(*)>=3 and min(a)<max(a) and min(b)<max(b) then round(corr(ra,rb),8) end as rho, case when count(*)>=3 and min(a)<max(a) and min(b)<max(b) then 'descriptive' else 'unknown' end as status from rk group by 1,2")
 def agg_15(t: Tables) -> DataFrame:
-    return rounded(PR.rna_protein_correlation(PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", _channels(t))), "rho")
+    return rounded(PR.rna_protein_correlation(PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", channels(t))), "rho")
 
 
 @query("WIN_05_average_ranks", ["cells_r2", "protein", "counts", "libs"], f"with {_PAIRS}, {_RANKED} select cell_id, feature_id, ra as rank from rk where measure='raw'")
 def win_05(t: Tables) -> DataFrame:
-    pairs = PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", _channels(t))
+    pairs = PR.rna_protein_pairs(t.at("r2"), t.counts, t.protein, "Brand#23", channels(t))
     return ranking.average_ranks(pairs, ["feature_id"], "rna_raw", "rank").select("cell_id", "feature_id", "rank")
 
 

@@ -5,12 +5,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import numeric
 from ..operators import expression as E, integration as I, models as M, ranking, spatial as S, statistics as ST, study
+from ..session import materialise
 from .annotation import rounded
-from .measurement import live_cells
+from .measurement import channels, live_cells
 from .registry import query
 from .tables import Tables
 
-PERMUTATIONS = 19  # the smallest admissible count keeps the checks quick; operators take any number
+MORAN_PERMUTATIONS, PAIR_PERMUTATIONS = 99, 199
 SEED = 7
 
 
@@ -97,25 +98,26 @@ def agg_27(t: Tables) -> DataFrame:
     return rounded(E.top_features(ST.moran_i(raw, S.row_stochastic_graph(cells, 6), cells.count()), "morans_i", 8), "morans_i")
 
 
-_PERM = f"""perms as (select p as perm, cell_id, row_number() over (partition by p order by md5(concat('{SEED}|',cast(p as varchar),'|',cast(cell_id as varchar))))-1 as idx from live, range(1,{PERMUTATIONS + 1}) r(p)),
+def _perm(count: int) -> str:
+    return f"""perms as (select p as perm, cell_id, row_number() over (partition by p order by md5(concat('{SEED}|',cast(p as varchar),'|',cast(cell_id as varchar))))-1 as idx from live, range(1,{count + 1}) r(p)),
     ids as (select cell_id, row_number() over (order by cell_id)-1 as idx from live),
     placed as (select perm, i.cell_id, p.cell_id as from_id from perms p join ids i using (idx) union all select 0, cell_id, cell_id from live)"""
 
 
-@query("WIN_09_permutations", ["live"], f"with {_PERM} select perm, cell_id, from_id from placed")
+@query("WIN_09_permutations", ["live"], f"with {_perm(MORAN_PERMUTATIONS)} select perm, cell_id, from_id from placed")
 def win_09(t: Tables) -> DataFrame:
-    return ranking.permutations(_xy(t), PERMUTATIONS, SEED)
+    return ranking.permutations(_xy(t), MORAN_PERMUTATIONS, SEED)
 
 
 def _bh_sql(rows: str) -> str:
     return f"bh as (select *, case when p_value is not null then least(1, min(case when p_value is not null then p_value*m/rk end) over (order by rk desc rows unbounded preceding)) end as q_value from (select *, count(p_value) over () as m, row_number() over (order by p_value nulls last) as rk from {rows}))"
 
 
-_SVG = f"""with {_DENSE.format(g='graph6')}, {_PERM}, sc as (select p.perm, a.feature_id, sum(g.w*a.z*b.z) as num from placed p join graph6 g on g.src=p.cell_id join placed q on q.perm=p.perm and q.cell_id=g.dst
+_SVG = f"""with {_DENSE.format(g='graph6')}, {_perm(MORAN_PERMUTATIONS)}, sc as (select p.perm, a.feature_id, sum(g.w*a.z*b.z) as num from placed p join graph6 g on g.src=p.cell_id join placed q on q.perm=p.perm and q.cell_id=g.dst
     join z a on a.cell_id=p.from_id join z b on b.cell_id=q.from_id and b.feature_id=a.feature_id group by 1,2),
     i as (select perm, feature_id, n/s0*num/d as i from sc join mom using (feature_id), s0),
-    o as (select feature_id, i as morans_i from i where perm=0), e as (select feature_id, count(case when i.i>=o.morans_i-1e-12 then 1 end) as exceed from i join o using (feature_id) where perm>0 group by 1),
-    r as (select m.feature_id, m.detected, case when m.detected<1090 then 'below_detection_filter' else 'tested' end as status, case when m.detected>=1090 then o.morans_i end as morans_i, case when m.detected>=1090 then (exceed+1)/{PERMUTATIONS + 1}::double end as p_value
+    o as (select feature_id, i as morans_i from i where perm=0), e as (select feature_id, count(case when i.i>=o.morans_i-1e-12*greatest(1,abs(o.morans_i)) then 1 end) as exceed from i join o using (feature_id) where perm>0 group by 1),
+    r as (select m.feature_id, m.detected, case when m.detected<5 then 'below_detection_filter' else 'tested' end as status, case when m.detected>=5 then o.morans_i end as morans_i, case when m.detected>=5 then (exceed+1)/{MORAN_PERMUTATIONS + 1}::double end as p_value
         from mom m left join o using (feature_id) left join e using (feature_id)), {_bh_sql('r')}"""
 
 
@@ -124,7 +126,7 @@ def _svg(t: Tables) -> DataFrame:
     detected = t.features.select("feature_id").join(
         t.counts.filter("value > 0").join(cells.select("cell_id"), "cell_id", "left_semi").groupBy("feature_id").agg(F.count("*").alias("_d")), "feature_id", "left"
     ).select("feature_id", F.coalesce("_d", F.lit(0)).alias("detected"))
-    return ST.spatially_variable(_norm(t), detected, S.adaptive_graph(cells, 6), cells, permutation_count=PERMUTATIONS, seed=SEED, min_detected=1090)
+    return ST.spatially_variable(_norm(t), detected, S.adaptive_graph(cells, 6), cells, permutation_count=MORAN_PERMUTATIONS, seed=SEED)
 
 
 @query("ML_04_spatially_variable", ["graph6", "norm", "live", "features"], _SVG + " select feature_id, detected, status, round(morans_i,8) as morans_i, p_value, round(q_value,8) as q_value from bh")
@@ -132,7 +134,7 @@ def ml_04(t: Tables) -> DataFrame:
     return rounded(_svg(t), "morans_i", "q_value")
 
 
-_LR = f"""with {_PERM}, ent as (select distinct e from (select ligand as e from lr_pairs union all select receptor from lr_pairs)),
+_LR = f"""with {_perm(PAIR_PERMUTATIONS)}, ent as (select distinct e from (select ligand as e from lr_pairs union all select receptor from lr_pairs)),
     su as (select e, unnest(string_split(e,'_')) as s from ent), ok as (select e, count(*) as size, bool_and(f.feature_id is not null) as fine from su left join features f on f.symbol=s group by e),
     ex as (select e, cell_id, min(value) as v from su join ok using (e) join norm n on n.feature_id=s where fine group by e, cell_id, size having count(*)=size),
     rw as (select src, dst, w/sum(w) over (partition by src) as w from graph6),
@@ -140,7 +142,7 @@ _LR = f"""with {_PERM}, ent as (select distinct e from (select ligand as e from
     sc as (select l.ligand, l.receptor, p.perm, sum(f.c*x.v)/(select count(*) from live) as s from lr_pairs l join fold f on f.ligand=l.ligand join placed p on p.cell_id=f.cell_id join ex x on x.e=l.receptor and x.cell_id=p.from_id group by 1,2,3),
     st as (select l.ligand, l.receptor, a.fine and b.fine as t from lr_pairs l join ok a on a.e=l.ligand join ok b on b.e=l.receptor),
     r as (select st.ligand, st.receptor, case when t then 'tested' else 'unmeasured_or_ambiguous_required_subunit' end as status, case when t then coalesce(o.s,0) end as score,
-        case when t then (case when coalesce(o.s,0)<=0 then {PERMUTATIONS} else coalesce((select count(*) from sc where sc.ligand=st.ligand and sc.receptor=st.receptor and sc.perm>0 and sc.s>=o.s),0) end+1)/{PERMUTATIONS + 1}::double end as p_value,
+        case when t then (case when coalesce(o.s,0)<=0 then {PAIR_PERMUTATIONS} else coalesce((select count(*) from sc where sc.ligand=st.ligand and sc.receptor=st.receptor and sc.perm>0 and sc.s>=o.s-1e-12*greatest(1,o.s)),0) end+1)/{PAIR_PERMUTATIONS + 1}::double end as p_value,
         case when t then coalesce((select count(*) from ex where e=st.ligand),0)/(select count(*) from live)::double end as ligand_detection
         from st left join sc o on o.ligand=st.ligand and o.receptor=st.receptor and o.perm=0), {_bh_sql('r')}"""
 
@@ -148,15 +150,14 @@ _LR = f"""with {_PERM}, ent as (select distinct e from (select ligand as e from
 @query("ML_05_ligand_receptor", ["graph6", "norm", "live", "features", "lr_pairs"], _LR + " select ligand, receptor, status, round(score,8) as score, round(ligand_detection,8) as ligand_detection, p_value, round(q_value,8) as q_value from bh")
 def ml_05(t: Tables) -> DataFrame:
     cells = _xy(t)
-    out = ST.ligand_receptor(_norm(t), t.features, t.lr_pairs, S.adaptive_graph(cells, 6), cells, permutation_count=PERMUTATIONS, seed=SEED)
+    out = ST.ligand_receptor(_norm(t), t.features, t.lr_pairs, S.adaptive_graph(cells, 6), cells, permutation_count=PAIR_PERMUTATIONS, seed=SEED)
     return rounded(out.select("ligand", "receptor", "status", "score", "ligand_detection", "p_value", "q_value"), "score", "ligand_detection", "q_value")
 
 
-@query("AGG_32_ligand_receptor_score", ["graph6", "norm", "live", "features", "lr_pairs"], _LR + " select ligand, receptor, round(score,8) as score from bh where status='tested'")
+@query("AGG_32_ligand_receptor_score", ["graph6", "norm", "live", "features", "lr_pairs"], _LR.replace(_perm(PAIR_PERMUTATIONS), "placed as (select 0 as perm, cell_id, cell_id as from_id from live)") + " select ligand, receptor, round(score,8) as score from bh where status='tested'")
 def agg_32(t: Tables) -> DataFrame:
     cells = _xy(t)
-    out = ST.ligand_receptor(_norm(t), t.features, t.lr_pairs, S.adaptive_graph(cells, 6), cells, permutation_count=1, seed=SEED)
-    return rounded(out.filter("status = 'tested'").select("ligand", "receptor", "score"), "score")
+    return rounded(ST.pair_scores(_norm(t), t.features, t.lr_pairs, S.adaptive_graph(cells, 6), cells), "score")
 
 
 @query("JOIN_13_complex_resolution", ["features", "lr_pairs"], """with su as (select ligand, receptor, unnest(list_concat(string_split(ligand,'_'),string_split(receptor,'_'))) as s from lr_pairs)
@@ -331,9 +332,11 @@ def agg_28(t: Tables) -> DataFrame:
 
 
 def spots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Spot-level input: cells summed by region."""
-    counts = t.counts.join(t.cells.select("cell_id", "region"), "cell_id").groupBy(F.col("region").alias("cell_id"), "feature_id").agg(F.sum("value").alias("value"))
-    return t.cells.select(F.col("region").alias("cell_id")).distinct(), counts
+    """Spot-level input: cells with counts, summed by tile of a 20-unit grid."""
+    tile = F.concat_ws(":", F.floor(F.col("x") / 20).cast("string"), F.floor(F.col("y") / 20).cast("string"))
+    counts = t.counts.filter("value > 0").join(t.cells.select("cell_id", tile.alias("spot")), "cell_id").groupBy(F.col("spot").alias("cell_id"), "feature_id").agg(F.sum("value").alias("value"))
+    counts = materialise(counts)
+    return counts.select("cell_id").distinct(), counts
 
 
 @query("ML_06_deconvolution")
@@ -345,12 +348,11 @@ def ml_06(t: Tables) -> DataFrame:
 # --- embeddings -----------------------------------------------------------------------------------------
 
 def _multimodal(t: Tables, spatial: bool, components: int = 5, clusters: int = 4) -> DataFrame:
-    channels = [r[0] for r in t.raw("part").select("p_type").distinct().orderBy("p_type").limit(4).collect()]
-    paired = t.protein.filter(F.col("feature_id").isin(*channels))
-    complete = paired.groupBy("cell_id").agg(F.count("*").alias("k")).filter(F.col("k") == len(channels)).select("cell_id")
+    panel = channels(t)
+    complete = t.protein.groupBy("cell_id").agg(F.count("*").alias("k")).filter(F.col("k") == len(panel)).select("cell_id")
     cells = live_cells(t).join(complete, "cell_id", "left_semi")
-    values = paired.withColumn("value", F.log1p("value"))
-    return M.multimodal_baseline(cells, E.normalise(t.counts, cells), values, M.feature_order(t.features), channels, components=components, clusters=clusters, seed=1, spatial=spatial)
+    values = t.protein.withColumn("value", F.log1p("value"))
+    return M.multimodal_baseline(cells, E.normalise(t.counts, cells), values, M.feature_order(t.features), panel, components=components, clusters=clusters, seed=1, spatial=spatial)
 
 
 @query("ML_08_principal_components")
@@ -382,7 +384,7 @@ def ml_10(t: Tables) -> DataFrame:
 def ml_11(t: Tables) -> DataFrame:
     cells = live_cells(t)
     embedding = M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
-    return M.spatial_domains(cells, embedding, clusters=4)
+    return M.spatial_domains(cells, embedding)
 
 
 @query("ML_12_batch_correction")
@@ -390,7 +392,7 @@ def ml_12(t: Tables) -> DataFrame:
     cells = live_cells(t)
     embedding = M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
     batches = cells.select("cell_id", F.when(F.col("x") < 500, "left").otherwise("right").alias("batch"))
-    return M.harmonise(embedding, batches, clusters=6, rounds=2, inner=2, seed=1)
+    return M.harmonise(embedding, batches, seed=1)
 
 
 @query("ML_19_integration_alternatives")
@@ -405,7 +407,7 @@ def ml_19(t: Tables) -> DataFrame:
     members = (cells.filter("region = 'n1'").select(F.lit("drop").alias("variant"), "cell_id")
                .unionByName(t.cells.filter("region = 'n2'").select(F.lit("readmit").alias("variant"), "cell_id")))
     return M.alternatives_grid(cells, members, {"drop": {"included": False}, "readmit": {"included": True}, "blurred": {"included": False}}, {"blurred": 3},
-                               [{"components": 3, "clusters": 3}], fit)
+                               [{"components": 3, "clusters": 3}, {"components": 5, "clusters": 3}, {"components": 5, "clusters": 6}], fit)
 
 
 _DIMS = 64

@@ -42,9 +42,14 @@ def wide(cells: DataFrame, values: DataFrame, features: Sequence[str], fill_zero
     return out.fillna(0.0, subset=list(features)) if fill_zero else out
 
 
-def matched_inputs(cells: DataFrame, counts: DataFrame, protein: DataFrame, rna_features: Sequence[str], protein_features: Sequence[str],
-                   ids: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Observations, wide RNA and wide protein of the included cells (or the given included ids)."""
+def matched_inputs(cells: DataFrame, counts: DataFrame, protein: DataFrame, panel: DataFrame, rna_features: Sequence[str],
+                   protein_features: Sequence[str], ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Observations, wide RNA and wide protein of the included cells (or the given included ids).
+
+    Only RNA features of the panel can be exported: a zero is written for what was measured, never for what was not.
+    """
+    asked = cells.sparkSession.createDataFrame([(f,) for f in rna_features], "feature_id string")
+    V.require_none(asked.join(panel, "feature_id", "left_anti"), "RNA features to export must be on the panel")
     active = cells.filter("included")
     if ids is not None:
         V.require_none(ids.join(active.select("cell_id"), "cell_id", "left_anti"), "export ids must be included observations")

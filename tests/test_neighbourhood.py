@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.geometry import polygon_problem
 from cellweave.operators import filters, neighbourhood as N, revisions as R
 
+# The small published examples whose results these tests state.
 CELLS = "cell_id string, x double, y double, label string, included boolean, region string"
 LINE = [("source", 0.0, 0.0, "T cell", True, ""), ("near-target", 1.0, 0.0, "Myeloid", True, ""), ("near-other", 2.0, 0.0, "Stromal", True, ""),
         ("far-target", 20.0, 0.0, "Myeloid", True, ""), ("far-other", 30.0, 0.0, "Stromal", True, "")]
