@@ -1,12 +1,14 @@
 """Cells, molecules and boundaries at slide scale: extents, exact density pyramids, viewports."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geometry import polygon_problem_udf
+from ..sources.sinks import write_review
 from .filters import within
 
 # Pyramid levels and per-view budgets of the display contract.
@@ -16,6 +18,13 @@ MAX_VERTICES = 100_000
 MAX_RING = 1_001  # vertices of one boundary, closing vertex included
 
 
+def boundary_boxes(vertices: DataFrame) -> DataFrame:
+    """One row per boundary without its ring: owner, kind, vertex count and bounding box."""
+    return vertices.groupBy("boundary_id").agg(
+        F.min("cell_id").alias("cell_id"), F.min("kind").alias("kind"), F.count("*").alias("vertex_count"),
+        F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+
+
 def assemble_boundaries(vertices: DataFrame) -> DataFrame:
     """One row per boundary: ordered ring, bounding box, vertex count, and the first rule it breaks.
 
@@ -121,7 +130,7 @@ def boundary_view(boundaries: DataFrame, bounds: Sequence[float], limit: int = M
 
 
 def molecules_of(transcripts: DataFrame, feature: str, bounds: Sequence[float] | None = None) -> DataFrame:
-    """One feature's molecules; tables written by ``write_atlas`` are sorted by feature, so row groups prune."""
+    """One feature's molecules; tables written by ``write_atlas`` are clustered by tile, so row groups prune."""
     out = transcripts.filter(F.col("feature") == feature)
     return out if bounds is None else out.filter(within(bounds))
 
@@ -145,15 +154,36 @@ def totals(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def write_atlas(path: str, cells: DataFrame, counts: DataFrame, transcripts: DataFrame | None = None,
-                boundaries: DataFrame | None = None, tile: float = 256.0) -> None:
-    """Parquet tables clustered by tile (and by feature for molecules) so viewport filters prune row groups."""
-    def tiled(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.withColumns({"gx": F.floor(F.col(x) / tile), "gy": F.floor(F.col(y) / tile)})
+@dataclass
+class Atlas:
+    """A stored atlas: tables clustered by tile, boundary boxes without rings, and the cells' density pyramid."""
+
+    cells: DataFrame
+    counts: DataFrame
+    transcripts: DataFrame
+    boundaries: DataFrame
+    pyramid: DataFrame
+
+
+def write_atlas(path: str, cells: DataFrame, counts: DataFrame, transcripts: DataFrame, vertices: DataFrame, window: Sequence[float], tile: float = 64.0) -> Atlas:
+    """Write the atlas once per input; viewport filters on the stored coordinates prune row groups, levels are read as they are."""
+    def tiled(df: DataFrame, x: str, y: str, *more: str) -> DataFrame:
+        marked = df.withColumns({"gx": F.floor(F.col(x) / tile), "gy": F.floor(F.col(y) / tile)})
+        return marked.repartitionByRange("gx", "gy").sortWithinPartitions("gx", "gy", *more).drop("gx", "gy")
+
+    tables = {"cells": tiled(cells, "x", "y"), "counts": counts.repartitionByRange("cell_id").sortWithinPartitions("cell_id"),
+              "transcripts": tiled(transcripts, "x", "y", "feature"), "boundaries": tiled(boundary_boxes(vertices), "minx", "miny"),
+              "pyramid": density_pyramid(cells, window)}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    return open_atlas(path, {name: df.schema for name, df in tables.items()}, cells.sparkSession)
+
+
+def open_atlas(path: str, schemas: Mapping[str, StructType], spark: SparkSession) -> Atlas:
+    return Atlas(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items()})
+
 
-    tiled(cells, "x", "y").repartitionByRange("gx", "gy").sortWithinPartitions("gx", "gy", "x").write.parquet(f"{path}/cells")
-    counts.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.parquet(f"{path}/counts")
-    if transcripts is not None:
-        tiled(transcripts, "x", "y").repartitionByRange("feature", "gx", "gy").sortWithinPartitions("feature", "gx", "gy").write.parquet(f"{path}/transcripts")
-    if boundaries is not None:
-        tiled(boundaries, "minx", "miny").repartitionByRange("gx", "gy").sortWithinPartitions("gx", "gy").write.parquet(f"{path}/boundaries")
+def write_roi(path: str, cells: DataFrame, counts: DataFrame, features: DataFrame, bounds: Sequence[float]) -> DataFrame:
+    """Freeze an ROI: its cells, all their counts and the whole feature axis as tables, and their manifest (one row per table)."""
+    inside, kept = roi_freeze(cells, counts, bounds)
+    return write_review(path, {"cells": inside, "counts": kept, "features": features})

@@ -145,6 +145,14 @@ def page_binding(**parts: object) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def bound_page(rows: DataFrame, cursor: Mapping[str, object] | None, limit: int, key: str = "cell_id", **binding: object) -> DataFrame:
+    """A keyset page whose rows carry the binding; a cursor of another revision, source or filter is refused."""
+    mine = page_binding(**binding)
+    if cursor is not None and cursor["binding"] != mine:
+        raise ValueError("the cursor belongs to another revision, source or filter")
+    return keyset_page(rows, None if cursor is None else cursor["after"], limit, key).withColumn("binding", F.lit(mine))
+
+
 def offset_page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 

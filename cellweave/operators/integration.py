@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.geometry import affine_problem, apply_affine, invert_affine
+from ..functions.geometry import apply_affine, invert_affine
 from .spatial import knn
 
 
@@ -73,9 +73,3 @@ def centroid_pixels(cells: DataFrame, pixels: DataFrame, label_cells: DataFrame,
     return out.select("cell_id", "px", "py", "pixel_value", "mapped_cell_id", F.when(~inside, "outside_image")
                       .when(F.col("pixel_value") == 0, "background_at_centroid").when(F.col("mapped_cell_id").isNull(), "mapping_unknown")
                       .when(F.col("mapped_cell_id") == F.col("cell_id"), "same_declared_cell").otherwise("different_declared_cell").alias("correspondence"))
-
-
-def check_affine(affine: Sequence[Sequence[float]]) -> None:
-    problem = affine_problem(affine)
-    if problem:
-        raise ValueError(f"pixel_to_world: {problem}")

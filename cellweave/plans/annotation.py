@@ -37,6 +37,7 @@ _REASON = """case when sources=0 then 'source_label_absent_from_included_selecti
 
 def neighbourhood_comparison(t: Tables, radius: float = 35.0, threshold: float = 0.05) -> DataFrame:
     """Flagship: the same frozen ROI before and after revision r2, with the change summary."""
+    filters.require_physical_units(t.slices)
     states = N.revision_states(t.cells, t.overlays, [None, "r2"])
     grid = N.neighbour_grid(states, 2, [radius], SOURCE, TARGET, roi=t.roi)
     compared = N.compare_states(N.edge_weighted(grid, threshold)).withColumn("_k", F.lit(1))
@@ -301,7 +302,7 @@ def flt_05(t: Tables) -> DataFrame:
 
 @query("FLT_06_viewport", ["cells"], "select count(*) as total, case when count(*)<=100000 then 'points' else 'counts_only' end as mode from cells where x between 200 and 520 and y between 200 and 480")
 def flt_06(t: Tables) -> DataFrame:
-    points, total = filters.viewport(t.cells, VIEW, 100_000)
+    points, total = filters.viewport(t.atlas.cells, VIEW, 100_000)
     return points.agg(F.lit(total).cast("bigint").alias("total"), F.when(F.count("*") == total, "points").otherwise("counts_only").alias("mode"))
 
 
@@ -480,9 +481,10 @@ def set_05(t: Tables) -> DataFrame:
     return filters.unknown_or_duplicate_ids(t.cells, wanted.distinct()).select("cell_id")
 
 
-@query("ORD_01_keyset_page", ["cells_r2", "counts"], f"select * from ({_QUERY}) q where cell_id>200 order by cell_id limit 50")
+@query("ORD_01_keyset_page", ["cells_r2", "counts"], f"""select *, sha256('{{"filters":"observed","revision":"r2","source":"cells"}}') as binding from ({_QUERY}) q where cell_id>200 order by cell_id limit 50""")
 def ord_01(t: Tables) -> DataFrame:
-    return filters.keyset_page(_observed(t), 200, 50)
+    bound = {"revision": "r2", "source": "cells", "filters": "observed"}
+    return filters.bound_page(_observed(t), {"after": 200, "binding": filters.page_binding(**bound)}, 50, **bound)
 
 
 @query("ORD_02_offset_page", ["cells"], "select cell_id, label, qc_balance from cells order by qc_balance desc, cell_id limit 40 offset 60")

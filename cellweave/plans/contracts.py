@@ -1,26 +1,18 @@
 """Readers, exports and validation jobs, exercised on tables derived from the test data."""
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import affine_struct_problem
 from ..operators import integration as I, protein as PR, revisions as R, validate as V
 from ..operators.models import feature_order
-from ..session import ensure_checkpoint_dir, materialise
+from ..session import materialise
 from ..sources import registry, sinks, text
 from .annotation import _proposal, rounded
 from .measurement import channels, live_cells
 from .registry import query
 from .statistics import _partitions, _transport
-from .tables import PROGRAM_A, PROGRAM_B, VIEW, Tables
-
-
-def scratch(t: Tables) -> str:
-    """A fresh folder under the session's shared checkpoint location."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4().hex}"
+from .tables import PROGRAM_A, PROGRAM_B, VIEW, Tables, scratch
 
 
 def _by_rule(violations: DataFrame) -> DataFrame:
@@ -364,6 +356,16 @@ def val_14(t: Tables) -> DataFrame:
     return rounded(PR.pairing_residuals(points, t.cells, [[2, 0, 10], [0, 2, -4], [0, 0, 1]], 0.1), "max_residual", digits=6)
 
 
+@query("VAL_14_protein_rules", ["cells", "protein"], """with d as (select case when cell_id%50=0 then -cell_id else cell_id end as cell_id, feature_id, case when cell_id%9=1 then -1 when cell_id%9=2 then 2.5 else floor(value) end as value from protein)
+    select * from (select 'foreign_observation' as rule, count(*) as violations from d where cell_id not in (select cell_id from cells) union all select 'invalid_value', count(*) from d where value<0
+    union all select 'antibody_count_not_integer', count(*) from d where value<>floor(value) union all select 'observation_without_protein', count(*) from cells where cell_id not in (select cell_id from d)) where violations>0""")
+def val_14_rules(t: Tables) -> DataFrame:
+    k = F.col("cell_id")
+    value = F.when(k % 9 == 1, F.lit(-1.0)).when(k % 9 == 2, F.lit(2.5)).otherwise(F.floor("value").cast("double"))
+    damaged = t.protein.select(F.when(k % 50 == 0, -k).otherwise(k).alias("cell_id"), "feature_id", value.alias("value"))
+    return _by_rule(V.protein_pairing(damaged, t.cells, "antibody_count"))
+
+
 @query("VAL_15_study_design", ["sections"], "select 'sample_has_several_owners' as rule, count(*) as violations from (select subject_id//2 as s from sections group by 1 having count(distinct subject_id)>1)")
 def val_15(t: Tables) -> DataFrame:
     return _by_rule(V.study_design(t.sections.withColumn("sample_id", F.floor(F.col("subject_id") / 2))))

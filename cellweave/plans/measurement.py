@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids, numeric
-from ..operators import atlas, expression as E, filters, protein as PR, quality, ranking
+from ..operators import atlas, expression as E, filters, protein as PR, quality, ranking, spatial, validate
 from ..session import materialise
 from .annotation import rounded
 from .registry import query
-from .tables import FIELDS, GENES, VIEW, WINDOW, Tables
+from .tables import FIELDS, GENES, VIEW, WINDOW, Tables, scratch
 
 _G = ",".join(f"'{g}'" for g in GENES)
 
@@ -94,6 +94,7 @@ def live_cells(t: Tables) -> DataFrame:
     t.counts = materialise(t.counts)
     libs = t.counts.groupBy("cell_id").agg(F.sum("value").alias("library")).filter("library > 0").select("cell_id")
     t.live = materialise(t.cells.filter("included").join(libs, "cell_id", "left_semi"))
+    validate.require_none(spatial.duplicate_positions(t.live), "graph statistics need distinct positions")
     return t.live
 
 
@@ -180,6 +181,11 @@ def agg_12_zero(t: Tables) -> DataFrame:
     return E.zero_library(t.cells, t.counts)
 
 
+@query("AGG_12_zero_examples", ["libs"], "select coalesce((select list(cell_id order by cell_id) from (select cell_id from libs where library=0 order by cell_id limit 100)), []) as examples, greatest(0, count(*)-100) as omitted from libs where library=0")
+def agg_12_examples(t: Tables) -> DataFrame:
+    return filters.examples(E.zero_library(t.cells, t.counts), "cell_id", 100)
+
+
 # --- proteins -----------------------------------------------------------------------------------------
 
 _PV = f"pv as (select c.cell_id, c.label, c.region, f.p_type as feature_id, p.value from cells_r2 c cross join {_CH} f left join protein p on p.cell_id=c.cell_id and p.feature_id=f.p_type where c.included)"
@@ -191,6 +197,11 @@ def agg_13(t: Tables) -> DataFrame:
     return rounded(rounded(PR.channel_summary(t.at("r2"), t.protein, channels(t), "asinh"), "mean_transformed"), "mean_raw", "median_raw", digits=4)
 
 
+@query("AGG_13_channel_labels", ["cells_r2"], "select label, count(*) as count from cells_r2 where included group by 1")
+def agg_13_labels(t: Tables) -> DataFrame:
+    return PR.channel_labels(t.at("r2"))
+
+
 def _protein_contrast(t: Tables, revision: str | None) -> DataFrame:
     return PR.region_contrast(E.tag_regions(t.at(revision), t.roi), t.protein, channels(t), "log1p")
 
@@ -296,7 +307,7 @@ def _bin_sql(level: str, table: str) -> str:
 
 @query("AGG_18_density_pyramid", ["cells"], " union all ".join(_bin_sql(str(v), "cells") for v in atlas.LEVELS))
 def agg_18(t: Tables) -> DataFrame:
-    return atlas.density_pyramid(t.cells, WINDOW)
+    return t.atlas.pyramid
 
 
 _X0, _Y0, _X1, _Y1 = VIEW
@@ -306,24 +317,23 @@ _DX, _DY = (_X1 - _X0) / 32, (_Y1 - _Y0) / 32
 @query("AGG_19_viewport_density", ["transcripts"], f"""select *, {_X0}::double+gx*{_DX}::double as x, {_Y0}::double+gy*{_DY}::double as y, {_DX}::double as width, {_DY}::double as height from (
     select least(31, trunc((x-{_X0}::double)/{_DX}::double))::bigint as gx, least(31, trunc((y-{_Y0}::double)/{_DY}::double))::bigint as gy, count(*) as count from transcripts where x between {_X0} and {_X1} and y between {_Y0} and {_Y1} group by 1,2)""")
 def agg_19(t: Tables) -> DataFrame:
-    return atlas.density_grid(t.transcripts, VIEW, 32)
+    return atlas.density_grid(t.atlas.transcripts, VIEW, 32)
 
 
 @query("AGG_20_viewport_answer", ["transcripts"], f"select 'aggregate_density' as mode, count(*) as total, count(*) as counted from transcripts where x between {_X0} and {_X1} and y between {_Y0} and {_Y1}")
 def agg_20(t: Tables) -> DataFrame:
-    seen = atlas.view(t.transcripts, VIEW, limit=1, grid=64)
+    seen = atlas.view(t.atlas.transcripts, VIEW, limit=1, grid=64)
     return seen.records.agg(F.lit(seen.mode).alias("mode"), F.lit(seen.total).cast("bigint").alias("total"), F.sum("count").alias("counted"))
 
 
 @query("JOIN_10_boundary_viewport", ["vertices"], f"select boundary_id, any_value(cell_id) as cell_id, any_value(kind) as kind, count(*) as vertex_count from vertices group by boundary_id having max(x)>={_X0} and min(x)<={_X1} and max(y)>={_Y0} and min(y)<={_Y1}")
 def join_10(t: Tables) -> DataFrame:
-    boxes = atlas.assemble_boundaries(t.vertices)
-    return atlas.boundaries_in(boxes, VIEW).select("boundary_id", "cell_id", "kind", "vertex_count")
+    return atlas.boundaries_in(t.atlas.boundaries, VIEW).select("boundary_id", "cell_id", "kind", "vertex_count")
 
 
 @query("JOIN_11_molecules_of_feature", ["transcripts"], f"select id, cell_id, x, y from transcripts where feature='Brand#23' and x between {_X0} and {_X1} and y between {_Y0} and {_Y1}")
 def join_11(t: Tables) -> DataFrame:
-    return atlas.molecules_of(t.transcripts, "Brand#23", VIEW).select("id", "cell_id", "x", "y")
+    return atlas.molecules_of(t.atlas.transcripts, "Brand#23", VIEW).select("id", "cell_id", "x", "y")
 
 
 @query("JOIN_19_assigned_cells", ["transcripts", "cells"], "select coalesce(c.label,'unassigned') as cell_label, count(*) as molecules from (select case when cell_id%4=0 then null else cell_id end as cell_id from transcripts) t left join cells c using (cell_id) group by 1")
@@ -335,10 +345,11 @@ def join_19(t: Tables) -> DataFrame:
 @query("SNK_05_roi_freeze", ["cells", "counts", "features"], f"""select (select count(*) from cells where x between {_X0} and {_X1} and y between {_Y0} and {_Y1}) as cells,
     (select count(*) from features) as panel, count(*) as entries, sum(value) as total from counts where cell_id in (select cell_id from cells where x between {_X0} and {_X1} and y between {_Y0} and {_Y1})""")
 def snk_05(t: Tables) -> DataFrame:
-    inside, counts = atlas.roi_freeze(t.cells, t.counts, VIEW)
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    return (one(inside.agg(F.count("*").alias("cells"))).join(one(t.features.agg(F.count("*").alias("panel"))), "_k")
-            .join(one(counts.agg(F.count("*").alias("entries"), F.sum("value").alias("total"))), "_k").drop("_k"))
+    folder = scratch(t)
+    written = atlas.write_roi(folder, t.atlas.cells, t.atlas.counts, t.features, VIEW)
+    size = lambda name: F.max(F.when(F.col("table") == name, F.col("row_count")))
+    sums = t.spark.read.parquet(f"{folder}/counts").agg(F.sum("value").alias("total")).withColumn("_k", F.lit(1))
+    return written.agg(size("cells").alias("cells"), size("features").alias("panel"), size("counts").alias("entries")).withColumn("_k", F.lit(1)).join(sums, "_k").drop("_k")
 
 
 @query("VAL_20_axis_totals", ["cells", "features", "counts", "transcripts", "vertices"], """select 'cells' as "table", count(*) as rows from cells union all select 'features', count(*) from features union all select 'counts', count(*) from counts

@@ -194,6 +194,12 @@ def win_02(t: Tables) -> DataFrame:
     return rounded(ranking.benjamini_hochberg(rows, family=["family"], failed_as_one=True), "q_value")
 
 
+@query("AGG_33_discovery_summary", (), f"with {_PV}, b as (select *, least(1,min(p_value*m/rk) over (partition by family order by rk desc rows unbounded preceding)) as q from (select *, count(*) over (partition by family) as m, row_number() over (partition by family order by p_value) as rk from (select * replace (case when l_partkey%7<>0 then p_value/case when l_suppkey%4=0 then 1e6 else 1 end end as p_value) from pv) z where p_value is not null)) select (select count(*) from pv) as row_count, count(*) as tested, count(case when q<0.05 then 1 end) as discoveries from b")
+def agg_33_discoveries(t: Tables) -> DataFrame:
+    p = F.when(F.col("l_partkey") % 7 != 0, F.col("p_value") / F.when(F.col("l_suppkey") % 4 == 0, 1e6).otherwise(1.0))
+    return ST.discovery_summary(ranking.benjamini_hochberg(_p_values(t).withColumn("p_value", p), family=["family"]))
+
+
 @query("FN_07_wilson_interval", (), """select l_returnflag, l_linestatus, round(greatest(0,(p+z*z/(2*n))/(1+z*z/n)-z*sqrt(p*(1-p)/n+z*z/(4*n*n))/(1+z*z/n)),8) as low, round(least(1,(p+z*z/(2*n))/(1+z*z/n)+z*sqrt(p*(1-p)/n+z*z/(4*n*n))/(1+z*z/n)),8) as high
     from (select l_returnflag, l_linestatus, count(*)::double as n, count(case when l_quantity>25 then 1 end)/count(*)::double as p, 1.959963984540054::double as z from lineitem group by 1,2)""")
 def fn_07(t: Tables) -> DataFrame:
@@ -405,6 +411,9 @@ def ml_12(t: Tables) -> DataFrame:
     cells = live_cells(t)
     embedding = M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
     batches = cells.select("cell_id", F.when(F.col("x") < 500, "left").otherwise("right").alias("batch"))
+    design = batches.join(cells.select("cell_id", F.col("label").alias("condition")), "cell_id")
+    if study.confounding(design).first()[0]:
+        raise ValueError("condition is completely confounded with batch")
     return M.harmonise(embedding, batches, seed=1)
 
 
@@ -501,14 +510,18 @@ def fn_16(t: Tables) -> DataFrame:
     return rounded(out.select("metric", "p_value", "q_value", t_p_value(bound, F.col("degrees_of_freedom")).alias("tail_at_bounds"), "status"), "p_value", "q_value", "tail_at_bounds", digits=7)
 
 
-@query("ML_14_paired_t", ["paired"], """with s as (select subject_id, metric, avg(case when condition='control' then value end) as v0, avg(case when condition='case' then value end) as v1 from paired group by 1,2), k as (select * from s where subject_id not in (select subject_id from s where v0 is null or v1 is null)),
+@query("ML_14_paired_t", (), """with paired as (select user_id as subject_id, case when d<=15 then 'control' else 'case' end as condition, event_type as metric, value
+        from (select user_id, extract(day from ts) as d, event_type, avg(value) as value from events group by 1,2,3) e where event_type='click' or d%2=0), s as (select subject_id, metric, avg(case when condition='control' then value end) as v0, avg(case when condition='case' then value end) as v1 from paired group by 1,2), k as (select * from s where subject_id not in (select subject_id from s where v0 is null or v1 is null)),
     a as (select metric, count(*) as n0, avg(v1-v0) as d, stddev_samp(v1-v0) as sd from k group by 1)
-    select metric, n0, n0 as n1, round(d,8) as effect, round(sd/sqrt(n0),8) as standard_error, round(d/(sd/sqrt(n0)),8) as statistic, (n0-1)::double as degrees_of_freedom from a""")
+    select metric, n0, n0 as n1, case when metric='click' then 'several_batches_need_a_mixed_model' end as reason, case when metric<>'click' then round(d,8) end as effect, case when metric<>'click' then round(sd/sqrt(n0),8) end as standard_error,
+    case when metric<>'click' then round(d/(sd/sqrt(n0)),8) end as statistic, case when metric<>'click' then (n0-1)::double end as degrees_of_freedom from a""")
 def ml_14(t: Tables) -> DataFrame:
-    arms = t.paired_records.groupBy("subject_id", "metric").agg(F.count_distinct("condition").alias("k"))
+    """One batch for all metrics but one, which is refused and keeps its row."""
+    records = t.paired_records.filter("metric = 'click' or batch = 'b0'")
+    arms = records.groupBy("subject_id", "metric").agg(F.count_distinct("condition").alias("k"))
     broken = arms.filter("k < 2").select("subject_id").distinct()
-    out = study.paired_t(t.paired_records.drop("batch").join(broken, "subject_id", "left_anti"), "control", "case")
-    return rounded(out.select("metric", "n0", "n1", *_T_OUT), "effect", "standard_error", "statistic")
+    out = study.paired_t(records.join(broken, "subject_id", "left_anti"), "control", "case")
+    return rounded(out.select("metric", "n0", "n1", "reason", *_T_OUT), "effect", "standard_error", "statistic")
 
 
 @query("ML_15_mixed_model")

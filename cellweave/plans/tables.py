@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.predicates import attribute
-from ..operators import filters, revisions
+from ..operators import atlas, filters, revisions
+from ..session import ensure_checkpoint_dir
 
 ROI = [(100.0, 100.0), (600.0, 80.0), (700.0, 500.0), (350.0, 700.0), (90.0, 450.0)]
 WINDOW = (0.0, 0.0, 1008.0, 996.0)
@@ -18,6 +20,9 @@ GENES = ["Brand#11", "Brand#23", "Brand#45", "Brand#55"]
 FIELDS = ["qc", "transcript_counts", "cell_area"]
 
 
+_ATLASES: dict[tuple[str, str], atlas.Atlas] = {}  # one stored atlas per session and input
+
+
 class Tables:
     """Lazily derived DataFrames over one directory of parquet files."""
 
@@ -36,6 +41,11 @@ class Tables:
             F.col("c_mktsegment").alias("label"), (F.col("c_acctbal") >= 0).alias("included"),
             F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("region"), F.col("c_acctbal").alias("qc_balance"))
 
+    @cached_property
+    def slices(self) -> DataFrame:
+        """The declared slice of the cells and its unit."""
+        return self.cells.limit(1).select(F.lit("slice-1").alias("slice_id"), F.lit("micrometer").alias("units"))
+
     @cached_property
     def features(self) -> DataFrame:
         return self.raw("part").select(F.col("p_brand").alias("feature_id"), F.col("p_brand").alias("symbol")).distinct()
@@ -72,6 +82,16 @@ class Tables:
         return v.select(F.concat_ws("-", F.col("cell_id").cast("string"), "k.kind").alias("boundary_id"), "cell_id", "k.kind", "v.vertex",
                         (F.col("x") + F.col("v.a") * F.col("k.h")).alias("x"), (F.col("y") + F.col("v.b") * F.col("k.h")).alias("y"))
 
+    @property
+    def atlas(self) -> atlas.Atlas:
+        """The stored atlas of this input, written into the shared folder when it is first asked for."""
+        key = (self.spark.sparkContext.applicationId, self.path)
+        if key not in _ATLASES:
+            ensure_checkpoint_dir(self.spark)
+            folder = f"{self.spark.sparkContext.getCheckpointDir()}/atlas-{uuid4().hex}"
+            _ATLASES[key] = atlas.write_atlas(folder, self.cells, self.counts, self.transcripts, self.vertices, WINDOW)
+        return _ATLASES[key]
+
     @cached_property
     def overlays(self) -> DataFrame:
         hit = (F.col("label") == SOURCE) & F.col("region").isin("n3", "n4", "n5")
@@ -137,6 +157,12 @@ class Tables:
         return self.raw("embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("batch"))
 
 
+def scratch(t: Tables) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/export-{uuid4().hex}"
+
+
 _EDGES = ", ".join(f"({a[0]}::double,{a[1]}::double,{b[0]}::double,{b[1]}::double)" for a, b in zip(ROI, ROI[1:] + ROI[:1]))
 _HIT = "label='BUILDING' and region in ('n3','n4','n5')"
 
