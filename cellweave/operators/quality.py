@@ -32,18 +32,15 @@ def numeric_fields(cells: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def category_table(cells: DataFrame, field: str, top: int = 20) -> DataFrame:
-    """Most frequent categories (count desc, value asc) with what the cut leaves out.
-
-    Categories are a bounded vocabulary, already one row each when ranked.
-    """
+    """Most frequent categories (count desc, value asc) with what the cut leaves out."""
     v = F.col("attributes")[field]
     counts = cells.filter((v["kind"] == "str") & (F.trim(v["str"]) != "")).groupBy(v["str"].alias("value")).agg(F.count("*").alias("count"))
-    every = W.partitionBy(F.lit(1))
-    ranked = counts.withColumns({"rank": F.row_number().over(every.orderBy(F.desc("count"), F.asc("value"))),
-                                 "category_count": F.count("*").over(every), "_all": F.sum("count").over(every)})
-    shown = ranked.filter(F.col("rank") <= top)
-    return shown.withColumns({"omitted_category_count": F.greatest(F.lit(0), F.col("category_count") - top),
-                              "omitted_observation_count": F.col("_all") - F.sum("count").over(every)}).drop("_all")
+    whole = counts.agg(F.count("*").alias("category_count"), F.sum("count").alias("_all")).withColumn("_k", F.lit(1))
+    first = counts.orderBy(F.desc("count"), F.asc("value")).limit(top)
+    ranked = first.withColumns({"rank": F.row_number().over(W.orderBy(F.desc("count"), F.asc("value"))), "_k": F.lit(1)})  # `top` rows at most
+    shown = ranked.join(F.broadcast(whole), "_k").withColumn("_shown", F.sum("count").over(W.partitionBy("_k")))  # whole: one row
+    return shown.select("value", "count", "rank", "category_count", F.greatest(F.lit(0), F.col("category_count") - top).alias("omitted_category_count"),
+                        (F.col("_all") - F.col("_shown")).alias("omitted_observation_count"))
 
 
 def expression_quality(libs: DataFrame) -> DataFrame:

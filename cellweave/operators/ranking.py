@@ -12,31 +12,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import materialise
 
 
-def _text_key(text: Column, shared: Column) -> Column:
-    """A number that never decreases along text order: the six bytes after the prefix all values share."""
-    tail = F.hex(F.substring(text, shared + 1, F.lit(6)))
-    return F.conv(F.substring(F.rpad(tail, 12, "0"), 1, 12), 16, 10).cast("double")
+def cumulative_counts(rows: DataFrame, by: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """(by, value, n, before, total, _b): how many rows hold a value and how many lie strictly below it.
 
-
-def cumulative_counts(rows: DataFrame, by: Sequence[str], value: str, bucket: Column | None = None, buckets: int = 64) -> DataFrame:
-    """(by, value, n, before, total, _b): how many rows hold a value and how many lie strictly below it."""
+    Without a given bucket the distinct values are range-partitioned by themselves, whatever their type, and a bucket
+    is a partition; their number is the session's, so a task stays as large as that setting makes it.
+    """
     by = list(by)
     rows = rows.filter(F.col(value).isNotNull()).select(*by, value)
     if not by:
         rows, by = rows.withColumn("_all", F.lit(1)), ["_all"]
-    dist = materialise(rows.groupBy(*by, value).agg(F.count("*").alias("n")))
+    dist = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     if bucket is None:
-        # Cut points balance distinct values, which is what the per-bucket sort below handles.
-        if dict(dist.dtypes)[value] == "string":
-            ends = dist.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-            shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_lo"))), lambda i: F.substring("_lo", 1, i) == F.substring("_hi", 1, i)))
-            dist = dist.join(ends.select(*by, shared.alias("_shared")), by).withColumn("_key", _text_key(F.col(value), F.col("_shared"))).drop("_shared")
-        else:
-            dist = dist.withColumn("_key", F.col(value).cast("double"))
-        cuts = dist.groupBy(*by).agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-        dist = dist.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts", "_key")
+        dist = materialise(dist.repartitionByRange(*by, value).withColumn("_b", F.spark_partition_id()))
     else:
-        dist = dist.withColumn("_b", bucket)
+        dist = materialise(dist).withColumn("_b", bucket)
     whole = W.partitionBy(*by)
     ahead = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = dist.groupBy(*by, "_b").agg(F.sum("n").alias("_bn")).select(

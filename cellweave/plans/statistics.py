@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import numeric
 from ..operators import expression as E, integration as I, models as M, ranking, spatial as S, statistics as ST, study
+from ..operators.vectors import knn_vectors
 from ..session import materialise
 from .annotation import rounded
 from .measurement import channels, live_cells
@@ -434,14 +435,10 @@ def ml_19(t: Tables) -> DataFrame:
                                [{"components": 3, "clusters": 3}, {"components": 5, "clusters": 3}, {"components": 5, "clusters": 6}], fit)
 
 
-_DIMS = 64
-
-
 @query("JOIN_03_embedding_neighbours", (), """select src, dst from (select a.vec_id as src, b.vec_id as dst, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.e,b.e), lambda z: (z[1]-z[2])*(z[1]-z[2]))), b.vec_id) as rk
     from (select vec_id, embedding::double[] as e from embeddings) a join (select vec_id, embedding::double[] as e from embeddings) b on a.vec_id<>b.vec_id) where rk<=15""")
 def join_03(t: Tables) -> DataFrame:
-    points = t.embeddings.select("cell_id", *[F.col("embedding")[i].alias(f"d{i}") for i in range(_DIMS)])
-    return S.knn(points, 15, dims=[f"d{i}" for i in range(_DIMS)]).select("src", "dst")
+    return knn_vectors(t.embeddings, 15).select("src", "dst")
 
 
 @query("AGG_29_cross_batch_fraction", (), """select round(avg(case when la<>lb then 1.0::double else 0 end),8) as cross_batch_neighbor_fraction from (select a.label as la, b.label as lb, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.e,b.e), lambda z: (z[1]-z[2])*(z[1]-z[2]))), b.vec_id) as rk
