@@ -134,8 +134,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, of which one stays for each text: the one with the largest doc_id."""
-    key, keep = "__copy_digest", "__copy_keep"
-    kept = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias(key), F.col("doc_id").alias(keep)).distinct()
-    marked = docs.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    left = marked.join(kept.withColumnRenamed(key, key + "2"), (F.col(key) == F.col(key + "2")) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
-    return left.dropDuplicates([key]).drop(key)
+    digest, id_ = "__copy_digest", "__copy_id"
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  one key for rows without id
+    kept = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias(digest), whole("doc_id").alias(id_)).distinct()
+    marked = docs.withColumns({digest: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), id_: whole("doc_id")})
+    return marked.join(kept, [digest, id_], "left_semi").dropDuplicates([digest, id_]).drop(digest, id_)  # dealt by both keys, once
