@@ -120,7 +120,8 @@ def candidate_classes(nodes: DataFrame, num: int, den: int) -> DataFrame:
     first = (per_set.where(F.col("c") >= F.col("q") - spare)
              .select("node", "s", "n", F.explode(F.slice(F.array_sort("own"), F.lit(1), taken.cast("int"))["h"]).alias("h")))
     first = written(first)
-    leaders = first.groupBy("h").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    leaders = (first.groupBy("h").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
+               .where(f"sets > 2 or sets = 2 and {den} * least >= {num} * most").select("h", "leader"))  # two sets of sizes too far apart have no link
     return written(first.join(leaders, "h").select("leader", "node", "s", "n").distinct())
 
 
