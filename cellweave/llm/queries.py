@@ -23,7 +23,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_ngram_join")
+@query("op1_ngram_join", """
+with recursive split as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+gram as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from split),
+size as (select doc_id, count(g) n from documents left join gram using (doc_id) group by doc_id),
+pair as (select x.doc_id a, y.doc_id b, count(*) c from gram x join gram y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+link as (select a, b from pair join size sa on sa.doc_id = a join size sb on sb.doc_id = b where 100 * c >= 75 * (sa.n + sb.n - c)),
+near as (select a, b from link union select b, a from link),
+reach as (select doc_id s, doc_id t from documents union select r.s, e.b from reach r join near e on e.a = r.t)
+select doc_id, n n_shingles, component_id from size join (select s doc_id, min(t) component_id from reach group by s) using (doc_id)
+""")
 def op1(spark: SparkSession, path: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, path, "documents"))
 
