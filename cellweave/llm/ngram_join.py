@@ -141,7 +141,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"][at:at + 256], pa.array([_short(hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s", "body"])
-    return map_batches(kept, work, "node long, s long, body binary")
+    return map_batches(kept, work, "node long, s long, body binary").dropDuplicates(["node", "s"])  # a row may be repeated
 
 
 def _short(sig: bytes) -> int:
@@ -198,7 +198,7 @@ def ngram_join(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     nodes = written(sampled.join(copies.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"])
                     .select(F.col("doc_id").alias("node"), F.expr("cast(conv(substring(hex(sig), 1, 16), 16, -10) as bigint)").alias("s"), "n", "q", "sample"))
     classes = candidate_classes(nodes, num, den)
-    groups = connected_components(set_links(classes, written(full_sets(docs, classes)), num, den))
+    groups = connected_components(set_links(classes, full_sets(docs, classes), num, den))
     named = copies.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     return marked.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
