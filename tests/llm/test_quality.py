@@ -36,6 +36,13 @@ def test_held_out_labels_are_never_read(spark, corpus):
     assert a == pytest.approx(b, abs=1e-12)
 
 
+def test_training_rows_are_the_first_by_hash(corpus):
+    docs, labels = corpus
+    featured = op.features(docs, np.zeros((op.ROWS, op.DIMS), np.float32))
+    every = op.training_rows(featured, labels, 10_000)
+    assert op.training_rows(featured, labels, 100) == every[:100] and len(every) == sum(not held_out(i) for i in range(900))
+
+
 def test_rejected_rows_go(corpus):
     docs, labels = corpus
     kept = {r.doc_id for r in op.drop_rejected(docs, labels).collect()}
