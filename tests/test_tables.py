@@ -159,3 +159,24 @@ def test_masks_and_correspondence(spark):
     assert {r["side"]: r["unmapped_count"] for r in V.unmapped(edges, cells, right).collect()} == {"left": 2, "right": 1}
     with pytest.raises(ValueError):
         V.require_equal_ids(cells, right, "ids")
+
+
+def test_xenium_areas_and_methods(spark):
+    """Negative areas are refused; any method text that is not blank stays text."""
+    columns = ["cell_area", "nucleus_count", "segmentation_method"]
+    rows = spark.createDataFrame([("3.5", "2", "none"), ("", "NA", " "), ("0", "1", "NA")], columns)
+    got = [r.attributes for r in rows.select(text.xenium_attributes(columns)).collect()]
+    assert [a["segmentation_method"]["str"] for a in got] == ["none", None, "NA"] and got[1]["segmentation_method"]["kind"] == "null"
+    assert [a["cell_area"]["num"] for a in got] == [3.5, None, 0.0] and [a["nucleus_count"]["num"] for a in got] == [2.0, None, 1.0]
+    bad = spark.createDataFrame([("-3", "2", "x")], columns).select(text.xenium_attributes(columns))
+    with pytest.raises(Exception, match="cell_area"):
+        bad.collect()
+
+
+def test_stored_atlas_is_written_once_and_pushes_filters(spark):
+    from cellweave.plans.tables import VIEW, Tables
+    path = "/root/testdata/sf0.001"
+    first, second = Tables(spark, path).atlas, Tables(spark, path).atlas
+    assert first is second and first.boundaries.count() == 2 * first.cells.count()
+    plan = atlas.molecules_of(first.transcripts, "Brand#11", VIEW)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(x" in plan.replace("`", "") and "EqualTo(feature" in plan.replace("`", "")
