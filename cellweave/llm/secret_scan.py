@@ -28,7 +28,6 @@ STATEMENT = re.compile(r"""(?:^|[\s{,;(&?])(?:["']([A-Za-z_][\w.\-]*)["']|([A-Za
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|([A-Za-z_][\w.\-]*(?![\w+/=]))|([A-Za-z0-9+/_=.\-]+)""", re.ASCII)
 INSIDE = re.compile(r"\$\{([A-Za-z_]\w*)\}")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]))?[ \t]*", re.ASCII)
-MAX_TERMS = 64
 
 Span = tuple[int, int]
 
@@ -49,13 +48,32 @@ def name_score(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in plain), default=0.0)
 
 
-def value_score(value: str) -> float:
-    """How much a value looks like a secret: bits per character, kinds of characters, no blanks, some length."""
-    if len(value) < MIN_LITERAL or any(c.isspace() for c in value):
+def value_score(value: Counter[str]) -> float:
+    """How much a value, given as its character counts, looks like a secret: bits per character, kinds of characters, no blanks, some length."""
+    length = value.total()
+    if length < MIN_LITERAL or any(c.isspace() for c in value):
         return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    bits = -sum(p * math.log2(p) for n in value.values() if (p := n / length))
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(bits, 4.0) * 0.5 + min(kinds, 3) * 0.5 + (0.5 if len(value) >= 16 else 0.0)
+    return min(bits, 4.0) * 0.5 + min(kinds, 3) * 0.5 + (0.5 if length >= 16 else 0.0)
+
+
+class Origin:
+    """The literal spans that a value came from: its own and, by links, those of the constants it was made of."""
+    __slots__ = ("own", "parents", "marked")
+
+    def __init__(self, own: tuple[Span, ...], parents: tuple[Origin, ...]):
+        self.own, self.parents, self.marked = own, parents, False
+
+    def mark(self, found: set[Span]) -> None:
+        """Put all spans into ``found``; what has been marked is not walked again."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            if not node.marked:
+                node.marked = True
+                found.update(s for s in node.own if s[1] > s[0])
+                todo += node.parents
 
 
 def statements(text: str):
@@ -63,7 +81,7 @@ def statements(text: str):
     at = 0
     while m := STATEMENT.search(text, at):
         terms, here = [], m.end()
-        while len(terms) < MAX_TERMS and (t := TERM.match(text, here)):
+        while t := TERM.match(text, here):
             group = t.lastindex
             kind = "literal" if group in (1, 2) else "name" if group in (3, 4, 5) else "bare"
             terms.append((kind, t.group(group), t.span(group)))
@@ -79,36 +97,44 @@ def statements(text: str):
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants.
 
-    Statements are read in order; each name's current value is its string and the spans it is made of. Joined
-    terms, names that hold constants and ``${name}`` inside strings are carried along; an assignment whose name
-    and whole value together score enough marks every literal span that the value came from.
+    Statements are read in order; of each name's current value, its character counts and the origin of its spans
+    are held, which add up exactly however long the value is and however many pieces it has. Joined terms, names
+    that hold constants and ``${name}`` inside strings are carried along; an assignment whose name and whole value
+    together score enough marks every literal span that the value came from.
     """
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, tuple[str, tuple[Span, ...]]] = {}
+    held: dict[str, tuple[Counter[str], Origin]] = {}
     found: set[Span] = set()
     for name, terms in statements(text):
-        value, spans, known = "", (), bool(terms)
+        value, own, parents, known = Counter(), [], {}, bool(terms)
         for kind, raw, span in terms:
             if kind == "name":
                 if raw in held:
-                    value, spans = value + held[raw][0], spans + held[raw][1]
+                    value.update(held[raw][0])
+                    parents[held[raw][1]] = None
                 elif len(terms) == 1 and "." not in raw and any(map(str.isdigit, raw)) and text[span[1]:span[1] + 1] not in ("(", "["):
-                    value, spans = raw, (span,)
+                    value.update(raw)
+                    own.append(span)
                 else:
                     known = False
+                    break
                 continue
             inner = [held[n] for n in INSIDE.findall(raw) if n in held]
-            value += INSIDE.sub(lambda m: held[m[1]][0] if m[1] in held else m[0], raw)
-            spans += (span,) if not inner or INSIDE.sub("", raw) else ()
-            spans += tuple(s for _, own in inner for s in own)
+            rest = INSIDE.sub(lambda m: "" if m[1] in held else m[0], raw) if inner else raw
+            value.update(rest)
+            for counts, origin in inner:
+                value.update(counts)
+                parents[origin] = None
+            if not inner or INSIDE.sub("", raw):
+                own.append(span)
         if not known:
             held.pop(name, None)
             continue
-        held[name] = (value[:4096], tuple(dict.fromkeys(spans))[:MAX_TERMS])
+        held[name] = value, Origin(tuple(own), tuple(parents))
         weight = name_score(name)
         if weight and weight + value_score(value) >= THRESHOLD:
-            found.update(s for s in spans if s[1] > s[0])
+            held[name][1].mark(found)
     return [(a, b, 3) for a, b in found]
 
 

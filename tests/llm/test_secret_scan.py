@@ -45,6 +45,34 @@ def test_constants_reach_sensitive_names(text, literals):
     assert sorted(text[a:b] for a, b, _ in op.literal_spans(text)) == sorted(literals)
 
 
+def pieces(n):
+    return ["".join("aB3-xY7zQ9"[(i * k + i) % 10] for k in (1, 3, 7)) + str(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [64, 65, 66, 500])
+def test_all_pieces_of_long_joins_are_marked(n, make):
+    parts = pieces(n)
+    one = "private_key = " + " + ".join(f'"{p}"' for p in parts)
+    many = 'k = ""\n' + "".join(f'k = k + "{p}"\n' for p in parts) + "private_key = k\n"
+    spread = "".join(f'c{i} = "{p}"\n' for i, p in enumerate(parts)) + 'private_key = "' + "".join(f"${{c{i}}}" for i in range(n)) + '"\n'
+    for text in (one, many):
+        assert [text[a:b] for a, b, _ in sorted(op.literal_spans(text))] == parts
+        assert not any(f'"{p}"' in op.masked(text) for p in parts)
+    assert [spread[a:b] for a, b, _ in sorted(op.literal_spans(spread))][:n] == parts
+    for r in op.redact(make([one, many, spread])).collect():
+        assert not any(f'"{p}"' in r.text for p in parts)
+
+
+def test_long_constants_are_judged_whole():
+    half = "".join(pieces(900))[:2500]
+    for text in (f'k = "{half}{half}"\nprivate_key = k', f'a = "{half}"\nk = a + "{half}"\nprivate_key = k'):
+        assert {text[a:b] for a, b, _ in op.literal_spans(text)} == set(re.findall('"(.*?)"', text))
+    for text in (f'k = "{half}{half} x"\nprivate_key = k', f'private_key = "{half}{half} x"'):  # a blank after character 4096 counts as well through a constant
+        assert op.literal_spans(text) == []
+    text = 'a = "Ab12-"\n' + "a = a + a\n" * 3000 + "private_key = a + 'Q'\n"
+    assert sorted(text[a:b] for a, b, _ in op.literal_spans(text)) == ["Ab12-", "Q"]
+
+
 def test_masks_take_effect_and_clean_rows_stay(awkward, nothing, make):
     docs = make(TEXTS)
     for r in op.redact(docs).collect():
