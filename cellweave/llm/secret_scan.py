@@ -21,13 +21,19 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: Parts of names that hold secrets, with their weights.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "accesskey": 3.0,
              "privatekey": 3.0, "credential": 2.5, "authorization": 2.0, "auth": 1.5, "signature": 1.5, "salt": 1.0}
+#: Ends of names whose secrets may be words with blanks between them.
+PHRASES = ("passphrase",)
 THRESHOLD = 5.0
 MIN_LITERAL = 8
-#: A statement: a name, perhaps quoted, an assignment sign, and the rest of the line as its expression.
-STATEMENT = re.compile(r"""(?:^|[\s{,;(&?])(?:["']([A-Za-z_][\w.\-]*)["']|([A-Za-z_][\w.\-]*))[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""", re.ASCII)
+#: A statement: a name, perhaps quoted, an assignment sign, and what follows as its expression.
+STATEMENT = re.compile(r"""(?:^|[\s{,;(&?])(?:["']([A-Za-z_][\w.\-]*)["']|([A-Za-z_][\w.\-]*))[ \t]*(:=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*""", re.ASCII)
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|([A-Za-z_][\w.\-]*(?![\w+/=]))|([A-Za-z0-9+/_=.\-]+)""", re.ASCII)
 INSIDE = re.compile(r"\$\{([A-Za-z_]\w*)\}")
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]))?[ \t]*", re.ASCII)
+BLANKS = r"(?:[ \t]|\\?\r?\n)*"
+#: Between terms: a joining sign, after which the line may end; prose ends sentences with a dot right behind a quote. Inside parentheses lines end anywhere.
+JOIN = re.compile(rf"[ \t]*(?:(?:\+|\.\.|(?<=[ \t])\.(?=[ \t\r\n])){BLANKS}|\.(?=[ \t])[ \t]*)")
+INNER_JOIN = re.compile(rf"{BLANKS}(\+|\.\.|\.(?=[ \t\r\n]))?{BLANKS}")
+OPEN, CLOSE = re.compile(rf"\({BLANKS}"), re.compile(rf"{BLANKS}\)")
 
 Span = tuple[int, int]
 
@@ -48,10 +54,14 @@ def name_score(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in plain), default=0.0)
 
 
-def value_score(value: Counter[str]) -> float:
-    """How much a value, given as its character counts, looks like a secret: bits per character, kinds of characters, no blanks, some length."""
+def is_phrase(name: str) -> bool:
+    return re.sub(r"[_\-]", "", name.lower()).endswith(PHRASES)
+
+
+def value_score(value: Counter[str], phrase: bool = False) -> float:
+    """How much a value, given as its character counts, looks like a secret: bits per character, kinds of characters, no blanks unless it is a phrase, some length."""
     length = value.total()
-    if length < MIN_LITERAL or any(c.isspace() for c in value):
+    if length < MIN_LITERAL or not phrase and any(c.isspace() for c in value):
         return 0.0
     bits = -sum(p * math.log2(p) for n in value.values() if (p := n / length))
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
@@ -77,43 +87,63 @@ class Origin:
 
 
 def statements(text: str):
-    """(name, terms, end) of each assignment; a term is (kind, value, span) of a literal or of a name that is used."""
+    """(name, terms, whether they are appended) of each assignment; a term is (kind, value, span) of a literal or of a name that is used.
+
+    Terms are joined by signs, over line ends after a sign and anywhere in parentheses, where literals also join
+    without one. What starts another statement behind a line end or a parenthesis is no term.
+    """
     at = 0
     while m := STATEMENT.search(text, at):
-        terms, here = [], m.end()
-        while t := TERM.match(text, here):
+        terms, depth, crossed, at = [], 0, False, m.end()
+        here = at
+        while True:
+            opened = False
+            while p := OPEN.match(text, here):
+                depth, opened, here = depth + 1, True, p.end()
+            if (opened or crossed) and STATEMENT.match(text, here - 1):
+                break
+            t = TERM.match(text, here)
+            if t is None or crossed and t.lastindex == 6:
+                break
             group = t.lastindex
             kind = "literal" if group in (1, 2) else "name" if group in (3, 4, 5) else "bare"
             terms.append((kind, t.group(group), t.span(group)))
-            gap = JOIN.match(text, t.end())
+            at = t.end()
+            while depth and (p := CLOSE.match(text, at)):
+                depth, at = depth - 1, p.end()
+            gap = INNER_JOIN.match(text, at) if depth else JOIN.match(text, at)
+            if gap is None:
+                break
             here = gap.end()
-            if not gap.group().strip() or here >= len(text):
-                here = t.end()
+            if depth and gap[1] is None and not (kind == "literal" and text.startswith(("\"", "'"), here)):
                 break
-        yield m.group(1) or m.group(2), terms
-        at = max(here, m.end())
+            crossed = "\n" in gap[0]
+        yield m.group(1) or m.group(2), terms, m.group(3) == "+="
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants.
 
     Statements are read in order; of each name's current value, its character counts and the origin of its spans
-    are held, which add up exactly however long the value is and however many pieces it has. Joined terms, names
-    that hold constants and ``${name}`` inside strings are carried along; an assignment whose name and whole value
-    together score enough marks every literal span that the value came from.
+    are held, which add up exactly however long the value is and however many pieces it has. Joined and
+    appended terms, names that hold constants and ``${name}`` inside strings are carried along; an assignment whose
+    name and whole value together score enough marks every literal span that the value came from.
     """
     if "=" not in text and ":" not in text:
         return []
     held: dict[str, tuple[Counter[str], Origin]] = {}
     found: set[Span] = set()
-    for name, terms in statements(text):
-        value, own, parents, known = Counter(), [], {}, bool(terms)
+    for name, terms, appended in statements(text):
+        value, own, parents, known = Counter(), [], {}, bool(terms) and (not appended or name in held)
+        if known and appended:
+            value.update(held[name][0])
+            parents[held[name][1]] = None
         for kind, raw, span in terms:
             if kind == "name":
                 if raw in held:
                     value.update(held[raw][0])
                     parents[held[raw][1]] = None
-                elif len(terms) == 1 and "." not in raw and any(map(str.isdigit, raw)) and text[span[1]:span[1] + 1] not in ("(", "["):
+                elif len(terms) == 1 and not appended and "." not in raw and any(map(str.isdigit, raw)) and text[span[1]:span[1] + 1] not in ("(", "["):
                     value.update(raw)
                     own.append(span)
                 else:
@@ -133,7 +163,7 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
             continue
         held[name] = value, Origin(tuple(own), tuple(parents))
         weight = name_score(name)
-        if weight and weight + value_score(value) >= THRESHOLD:
+        if weight and weight + value_score(value, is_phrase(name)) >= THRESHOLD:
             held[name][1].mark(found)
     return [(a, b, 3) for a, b in found]
 

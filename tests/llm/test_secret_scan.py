@@ -73,6 +73,18 @@ def test_long_constants_are_judged_whole():
     assert sorted(text[a:b] for a, b, _ in op.literal_spans(text)) == ["Ab12-", "Q"]
 
 
+@pytest.mark.parametrize(("text", "literals"), [
+    ('token = "Ab12-" +\n    "Cd34-" + \\\r\n\t"Ef56"\nname = "x"', ["Ab12-", "Cd34-", "Ef56"]), ("secret_key = ('Ab12Cd34' \n  'Ef56Gh78'\n)\nx = 'y'", ["Ab12Cd34", "Ef56Gh78"]),
+    ('api_key = ("Ab12"\n  + ("Cd34" .. "Ef56")) + "Gh78"', ["Ab12", "Cd34", "Ef56", "Gh78"]), ('k = ("Ab12Cd34Ef56")\ntoken = (k)', ["Ab12Cd34Ef56"]), ('secret = "Ab12Cd34" .\n "Ef56"', ["Ab12Cd34", "Ef56"]),
+    ('k = "Ab12"\nk += "Cd34"\nk += ("Ef56" +\n "Gh78")\nprivate_key = k', ["Ab12", "Cd34", "Ef56", "Gh78"]), ("token='Ab12Cd'\ntoken+='Ef56Gh'", ["Ab12Cd", "Ef56Gh"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]), ("wallet.pass_phrase: 'four words are fine'", ["four words are fine"]),
+    ('k = "Ab12Cd34Ef56"\nk += read()\ntoken = k', []), ('k += "Ab12Cd34Ef56"\ntoken = k', []), ('passphrase_prompt = "Enter the passphrase now"', []), ('password = "correct horse battery staple"', []), ('token = ("Ab12Cd34Ef56" + foo)', []), ("token = ()", []),
+    ('x = "a" +\ntoken = "Ab12Cd34Ef56"', ["Ab12Cd34Ef56"]), ('x = ("a"\n"token": "Ab12Cd34Ef56")', ["Ab12Cd34Ef56"]), ('db = (password="Ab12Cd34Ef56", user="x")', ["Ab12Cd34Ef56"]), ('x = (\n  token = "Ab12Cd34Ef56")', ["Ab12Cd34Ef56"]),
+    ('the token: "Ab12Cd34Ef56". \nNext line', ["Ab12Cd34Ef56"]), ('- token = "Ab12Cd34Ef56" +\n-  "Gh78"', ["Ab12Cd34Ef56"]), ('token = "Ab12Cd34Ef56"\n+secret = "Zx98Yw76Vu54"', ["Ab12Cd34Ef56"])])
+def test_forms_that_carry_constants(text, literals):
+    assert sorted(text[a:b] for a, b, _ in op.literal_spans(text)) == sorted(literals)
+
+
 def test_masks_take_effect_and_clean_rows_stay(awkward, nothing, make):
     docs = make(TEXTS)
     for r in op.redact(docs).collect():
