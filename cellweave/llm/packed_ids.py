@@ -1,6 +1,7 @@
 """Packed id matrices: best-fit-decreasing within bounded blocks, by a segment tree over capacities."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cellweave.session import ensure_checkpoint_dir
+
 from .best_fit import CAPACITY, END_ID, cut
 from .common import map_batches, texts_of
 from .token_ids import ID, chunk_ids
@@ -124,3 +127,12 @@ def pack_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
 def write_packed(packed: DataFrame, path: str) -> None:
     """The matrix rows as Parquet files in a shared folder; each file is a stack of fixed-width rows."""
     packed.write.parquet(path)
+
+
+def stored(packed: DataFrame) -> DataFrame:
+    """The matrix rows, written once to the shared folder and reread from there."""
+    spark = packed.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    write_packed(packed, path)
+    return spark.read.schema(packed.schema).parquet(path)

@@ -54,7 +54,7 @@ def op4(spark: SparkSession, path: str) -> DataFrame:
 
 @query("op5_packed_ids")
 def op5(spark: SparkSession, path: str) -> DataFrame:
-    packed = packed_ids.pack_matrices(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = packed_ids.stored(packed_ids.pack_matrices(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json")))
     return packed.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts")
 
 

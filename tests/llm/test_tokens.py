@@ -9,7 +9,7 @@ import tiktoken
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from cellweave.llm import best_fit, byte_bpe, packed_ids, token_counts
+from cellweave.llm import best_fit, byte_bpe, packed_ids, queries, token_counts
 from cellweave.llm.token_ids import ChunkIds
 
 from .conftest import awkward_texts
@@ -119,6 +119,17 @@ def test_packed_matrices_round_trip(spark, awkward, tmp_path):
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
+def test_op5_rows_come_from_stored_matrices(spark, monkeypatch):
+    written, write = [], packed_ids.write_packed
+    monkeypatch.setattr(packed_ids, "write_packed", lambda packed, path: (written.append(path), write(packed, path)))
+    rows = {r.sequence_id: r for r in queries.QUERIES["op5_packed_ids"](spark, "/root/testdata/sf0.001").collect()}
+    (path,), seen = written, 0
+    for m in spark.read.parquet(path).collect():
+        r, seen = rows[m.sequence_id], seen + 1
+        assert (r.ids_crc32, r.positions_crc32, r.cu_seqlens) == (zlib.crc32(m.input_ids), zlib.crc32(m.position_ids), m.cu_seqlens)
+    assert seen == len(rows) > 0
+
+
 def test_segment_tree_takes_the_smallest_room():
     rng, capacity = np.random.default_rng(1), 97
     lengths = rng.integers(1, capacity + 1, 500).tolist()
