@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, byte_bpe, exact_dedup, ngram_join, packed_ids, quality, secret_scan, token_counts, url_filter
+from . import ann, best_fit, byte_bpe, exact_dedup, ngram_join, packed_ids, quality, secret_scan, substring_dedup, token_counts, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,18 @@ def op9(spark: SparkSession, path: str) -> DataFrame:
 @query("op10_best_fit")
 def op10(spark: SparkSession, path: str) -> DataFrame:
     return best_fit.pack(read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_substring_dedup", """
+with split as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 18)) i from split),
+win as (select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) > 1 late from starts),
+word as (select doc_id, unnest(w) x, generate_subscripts(w, 1) j from split),
+edge as (select doc_id, j, sum(step) step from (select doc_id, i j, 1 step from win where late union all select doc_id, i + 20, -1 from win where late) group by doc_id, j),
+mark as (select doc_id, j, x, coalesce(sum(step) over (partition by doc_id order by j), 0) > 0 gone from word left join edge using (doc_id, j))
+select doc_id, count(j) n_words, count(*) filter (where gone) n_removed, sha256(coalesce(string_agg(x, ' ' order by j) filter (where not gone), '')) kept_sha256
+from documents left join mark using (doc_id) group by doc_id
+""")
+def op11(spark: SparkSession, path: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, path, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
