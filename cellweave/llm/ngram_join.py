@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, texts_of, written
 from .prefix_tree import links
-from .shingles import shingle_sets
+from .shingles import shingle_sets, slices, text_buffers
 
 NUM, DEN = 75, 100
 #: Share of the hash space whose shingles are counted over the corpus, in eighths; above 1 - NUM/DEN.
@@ -28,14 +28,24 @@ def need(n, num: int = NUM, den: int = DEN):
     return -(-num * n // den)
 
 
+def _signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s, digest_size=16).digest()
+
+
+def _parts(batch: pa.RecordBatch, texts: int = 1 << 21):
+    """Neighbouring rows of at most so many bytes of text; a longer text stands alone."""
+    offsets, _ = text_buffers(batch["text"])
+    for lo, hi in slices(offsets, texts):
+        yield batch.slice(lo, hi - lo)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and a 128-bit signature of the shingle set of every whole text."""
     def work(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch["text"]))
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "sig"])
+            found = [(len(s), _signature(s)) for s in shingle_sets(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())],
+                                             names=["doc_id", "n_shingles", "sig"])
     return map_batches(texts_of(docs), work, "doc_id long, n_shingles long, sig binary")
 
 
@@ -57,14 +67,13 @@ def samples(docs: DataFrame, num: int, den: int) -> DataFrame:
     end = np.uint64(_SAMPLE_END << (64 - _HASH))
 
     def work(batches):
-        for batch in batches:
+        for part in (p for batch in batches for p in _parts(batch)):
             rows = []
-            for s in shingle_sets(batch["text"]):
+            for s in shingle_sets(part["text"]):
                 q = int(np.searchsorted(s, end))
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), q, _pack(s[:max(q, len(s) - need(len(s), num, den) + 1)])))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                rows.append((len(s), _signature(s), q, _pack(s[:max(q, len(s) - need(len(s), num, den) + 1)])))
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n", "sig", "q", "sample"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n", "sig", "q", "sample"])
     return map_batches(texts_of(docs), work, "doc_id long, n long, sig binary, q long, sample binary")
 
 
@@ -135,12 +144,9 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             .where(F.call_function("shiftright", byte, place.bitwiseAND(7)).bitwiseAND(1) == 1).select("doc_id", "text"))
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                sets = list(shingle_sets(batch["text"][at:at + 256]))
-                yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"][at:at + 256], pa.array([_short(hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s", "body"])
+        for part in (p for batch in batches for p in _parts(batch)):
+            rows = [(_short(_signature(s)), s.tobytes()) for s in shingle_sets(part["text"])]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["node", "s", "body"])
     return map_batches(kept, work, "node long, s long, body binary").dropDuplicates(["node", "s"])  # a row may be repeated
 
 
