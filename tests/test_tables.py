@@ -180,3 +180,23 @@ def test_stored_atlas_is_written_once_and_pushes_filters(spark):
     assert first is second and first.boundaries.count() == 2 * first.cells.count()
     plan = atlas.molecules_of(first.transcripts, "Brand#11", VIEW)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(x" in plan.replace("`", "") and "EqualTo(feature" in plan.replace("`", "")
+
+
+def test_matrix_of_several_files(spark, tmp_path):
+    """Parts of rising size, the first with the header alone: blocks are dealt by size, and the header still comes first."""
+    folder = tmp_path / "matrix"
+    folder.mkdir()
+    entries = [(r, c, r * c) for r in range(1, 41) for c in range(1, 201)]
+    header = ["%%MatrixMarket matrix coordinate integer general", "% remark", f"40 200 {len(entries)}"]
+    for i, (a, b) in enumerate([(0, 0), (0, 500), (500, 3000), (3000, 8000)]):
+        lines = (header if i == 0 else []) + [f"{r} {c} {v}" for r, c, v in entries[a:b]]
+        (folder / f"part-{i:05d}.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "features.tsv").write_text("".join(f"g{i}\tG{i}\n" for i in range(1, 41)))
+    (tmp_path / "barcodes.tsv").write_text("".join(f"c{i}\n" for i in range(1, 201)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        _, counts, _ = text.read_matrix_market(spark, str(folder), str(tmp_path / "features.tsv"), str(tmp_path / "barcodes.tsv"))
+        assert {(r.cell_id, r.feature_id, r.value) for r in counts.collect()} == {(f"c{c}", f"g{r}", v) for r, c, v in entries}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
