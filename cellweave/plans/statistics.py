@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import numeric
-from ..operators import expression as E, integration as I, models as M, ranking, spatial as S, statistics as ST, study
+from ..operators import expression as E, integration as I, models as M, ranking, spatial as S, spectral as SP, statistics as ST, study
 from ..operators.vectors import knn_vectors
 from ..session import materialise
 from .annotation import rounded
@@ -367,7 +367,7 @@ def ml_06(t: Tables) -> DataFrame:
 
 # --- embeddings -----------------------------------------------------------------------------------------
 
-def _multimodal(t: Tables, spatial: bool, components: int = 5, clusters: int = 4) -> DataFrame:
+def _multimodal(t: Tables, spatial: bool, components: int = 10, clusters: int = 6) -> DataFrame:
     panel = channels(t)
     complete = t.protein.groupBy("cell_id").agg(F.count("*").alias("k")).filter(F.col("k") == len(panel)).select("cell_id")
     cells = live_cells(t).join(complete, "cell_id", "left_semi")
@@ -375,19 +375,45 @@ def _multimodal(t: Tables, spatial: bool, components: int = 5, clusters: int = 4
     return M.multimodal_baseline(cells, E.normalise(t.counts, cells), values, M.feature_order(t.features), panel, components=components, clusters=clusters, seed=1, spatial=spatial)
 
 
+def _embedding(t: Tables, cells: DataFrame, components: int) -> DataFrame:
+    return SP.principal_components(cells, E.normalise(t.counts, cells), components, t.features)[0]
+
+
 @query("ML_08_principal_components")
 def ml_08(t: Tables) -> DataFrame:
+    return _embedding(t, live_cells(t), 5)
+
+
+_Z_SQL = """d as (select c.cell_id, f.feature_id, coalesce(n.value,0) as y from live c cross join features f left join norm n on n.cell_id=c.cell_id and n.feature_id=f.feature_id),
+    z as (select cell_id, feature_id, (y-m)/s as z from d join (select feature_id, avg(y) as m, case when stddev_pop(y)<1e-12 then 1 else stddev_pop(y) end as s from d group by 1) using (feature_id))"""
+
+
+@query("ML_08_component_energy", ["norm", "live", "features"], f"with {_Z_SQL} select cell_id, round(sum(z*z),6) as energy from z group by 1")
+def ml_08_energy(t: Tables) -> DataFrame:
+    """On as many components as features the scores of a cell have the length of its standardised row."""
+    scores = _embedding(t, live_cells(t), t.features.count())
+    return rounded(scores.select("cell_id", F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v).alias("energy")), "energy", digits=6)
+
+
+@query("ML_08_component_spectrum", ["norm", "live", "features"], f"""with {_Z_SQL}, c as (select a.feature_id as i, b.feature_id as j, sum(a.z*b.z)/(select count(*) from live) as v from z a join z b using (cell_id) group by 1,2),
+    s as (select x.i, y.j, sum(x.v*y.v) as v from c x join c y on x.j=y.i group by 1,2)
+    select 1 as power, round(sum(v),6) as total from c where i=j union all select 2, round(sum(v*v),6) from c
+    union all select 3, round(sum(s.v*c.v),6) from s join c on s.i=c.j and s.j=c.i union all select 4, round(sum(v*v),6) from s""")
+def ml_08_spectrum(t: Tables) -> DataFrame:
+    """Sums of powers of the components' variances: the traces of powers of the correlation matrix."""
     cells = live_cells(t)
-    return M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
+    rows = SP.StandardRows(cells, E.normalise(t.counts, cells), t.features)
+    variance, _ = SP.leading(rows.covariance_times, rows.d, rows.d)
+    totals = t.spark.createDataFrame([(p, float((variance**p).sum())) for p in range(1, 5)], "power int, total double")
+    return rounded(totals, "total", digits=6)
 
 
 @query("FLT_13_block_scaling", ["norm", "live", "features"], f"""with d as (select c.cell_id, f.feature_id, coalesce(n.value,0) as y from live c cross join features f left join norm n on n.cell_id=c.cell_id and n.feature_id=f.feature_id)
     select cell_id, feature_id, round((y-m)/s/sqrt(k),8) as value from d join (select feature_id, avg(y) as m, case when stddev_pop(y)<1e-12 then 1 else stddev_pop(y) end as s from d group by 1) using (feature_id), (select count(*)::double as k from features)""")
 def flt_13(t: Tables) -> DataFrame:
-    cells, names = live_cells(t), M.feature_order(t.features)
-    v = M.scaled_vectors(cells, E.normalise(t.counts, cells), names, cells.count(), block=True)
-    axis = F.array(*[F.lit(n) for n in names])
-    return rounded(v.select("cell_id", F.explode(F.arrays_zip(axis.alias("feature_id"), F.col("vec").alias("value"))).alias("e")).select("cell_id", "e.feature_id", "e.value"), "value")
+    cells = live_cells(t)
+    rows = SP.StandardRows(cells, E.normalise(t.counts, cells), t.features, block=True)
+    return rounded(rows.dense().join(rows.index, "idx").select("cell_id", "feature_id", "value"), "value")
 
 
 @query("ML_09_multimodal_baseline")
@@ -403,14 +429,32 @@ def ml_10(t: Tables) -> DataFrame:
 @query("ML_11_spatial_domains")
 def ml_11(t: Tables) -> DataFrame:
     cells = live_cells(t)
-    embedding = M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
+    embedding = _embedding(t, cells, 5)
     return M.spatial_domains(cells, embedding)
 
 
+@query("ML_11_domain_vectors", (), """select a::int as a, b::int as b, case when a=b then 1.0 else 0.0 end::double as product, case when a=b then 0.0 end::double as residual
+    from range(6) p(a), range(6) q(b)""")
+def ml_11_vectors(t: Tables) -> DataFrame:
+    """Products of the leading vectors with each other, and the length of A v - (v A v) v of each, from the edges themselves."""
+    cells = live_cells(t)
+    edges, index, vectors = M.domain_vectors(cells, _embedding(t, cells, 5))
+    degree = edges.groupBy(F.col("src").alias("cell_id")).agg(F.sum("affinity").alias("degree"))
+    entry = materialise(vectors.join(index, "idx").join(degree, "cell_id").select("cell_id", "degree", F.posexplode("vec").alias("a", "v")))
+    to = entry.select(F.col("cell_id").alias("dst"), F.col("degree").alias("dj"), "a", F.col("v").alias("u"))
+    image = edges.join(to, "dst").groupBy(F.col("src").alias("cell_id"), "a").agg(F.sum(F.col("affinity") * F.col("u") / F.sqrt("dj")).alias("s"))
+    both = materialise(entry.join(image, ["cell_id", "a"]).select("cell_id", "a", "v", (F.col("s") / F.sqrt("degree")).alias("av")))
+    value = both.groupBy("a").agg((F.sum(F.col("v") * F.col("av")) / F.sum(F.col("v") * F.col("v"))).alias("theta"))
+    rest = both.join(value, "a").groupBy("a").agg(F.sqrt(F.sum((F.col("av") - F.col("theta") * F.col("v")) ** 2)).alias("residual"))
+    products = both.select("cell_id", "a", "v").join(both.select("cell_id", F.col("a").alias("b"), F.col("v").alias("u")), "cell_id").groupBy("a", "b").agg(F.sum(F.col("v") * F.col("u")).alias("product"))
+    out = products.join(rest.withColumn("b", F.col("a")), ["a", "b"], "left")
+    return rounded(out.select("a", "b", "product", "residual"), "product", "residual", digits=6).withColumns({c: F.col(c) + 0.0 for c in ("product", "residual")})
+
+
 @query("ML_12_batch_correction")
 def ml_12(t: Tables) -> DataFrame:
     cells = live_cells(t)
-    embedding = M.pca(M.scaled_vectors(cells, E.normalise(t.counts, cells), M.feature_order(t.features), cells.count()), 5)
+    embedding = _embedding(t, cells, 5)
     batches = cells.select("cell_id", F.when(F.col("x") < 500, "left").otherwise("right").alias("batch"))
     design = batches.join(cells.select("cell_id", F.col("label").alias("condition")), "cell_id")
     if study.confounding(design).first()[0]:
@@ -426,7 +470,7 @@ def ml_19(t: Tables) -> DataFrame:
     values = E.normalise(t.counts, cells)
 
     def fit(kept: DataFrame, components: int, clusters: int) -> DataFrame:
-        embedding = M.pca(M.scaled_vectors(kept, values.join(kept.select("cell_id"), "cell_id", "left_semi"), M.feature_order(t.features), kept.count()), components)
+        embedding = SP.principal_components(kept, values, components, t.features)[0]
         return M.kmeans(embedding, clusters, 1).withColumn("representation", F.lit("rna_only"))
 
     members = (cells.filter("region = 'n1'").select(F.lit("drop").alias("variant"), "cell_id")
