@@ -1,9 +1,9 @@
 """Neighbour enrichment of a target label around a source label, over grids of states, radii and scopes.
 
 A *state* is one assignment of labels and inclusion flags to the same fixed positions: a revision or a
-what-if variant. All states, radii and scopes share one distance join, because positions never change:
-cells are first folded to distinct positions carrying per-state counts, so coincident copies cost one row
-and neighbour pairs are never multiplied by the number of states.
+what-if variant. All states, radii and scopes share one count of neighbours, because positions never change:
+cells are first folded to distinct positions carrying per-state counts, so coincident copies cost one row,
+and tiles wholly within a radius add their totals, so pairs of points are met along the rim only.
 """
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spatial import radius_join
+from ..session import materialise
+from .dual_tiles import radius_sums
 
 SCOPES = ("whole_slice", "roi_induced")
 BACKGROUNDS = ("neighbor_universe", "imported_universe", "selection")
@@ -83,9 +84,8 @@ def neighbour_grid(states: DataFrame, n_states: int, radii: Sequence[float], sou
         columns.append(inc & F.col("in_roi") & (lab == source))
     width = 4 * len(scopes) + 1
     sums = [F.sum(c.cast("bigint")).alias(f"_v{i}") for i, c in enumerate(columns)]
-    # One array column for every use below, so the three branches share a single exchange.
-    positions = (frame.groupBy("x", "y", "in_bg").agg(*sums)
-                 .select("x", "y", "in_bg", F.array(*[F.col(f"_v{i}") for i in range(len(columns))]).alias("v")))
+    positions = materialise(frame.groupBy("x", "y", "in_bg").agg(*sums)
+                            .select("x", "y", "in_bg", F.array(*[F.col(f"_v{i}") for i in range(len(columns))]).alias("v")))
 
     def slot(s: int, j: int) -> int:
         return s * width + j
@@ -109,14 +109,11 @@ def neighbour_grid(states: DataFrame, n_states: int, radii: Sequence[float], sou
         "x", "y", F.col("x").alias("px"), F.col("y").alias("py"), F.col("in_bg").alias("src_bg"),
         F.array(*[F.col("v")[slot(s, 4 * len(scopes))] for s in s_range]).alias("m"))
     nodes = positions.select("x", "y", F.array(*[F.col("v")[slot(s, 2 * q + t)] for s in s_range for q in range(len(scopes)) for t in (0, 1)]).alias("n"))
-    pairs = (radius_join(sources, nodes, max(radii))
-             .withColumn("radius", F.explode(F.filter(radius_list, lambda r: F.col("d2") <= r * r))))
     flat = [(s, q) for s in s_range for q in range(len(scopes))]
-    around = pairs.groupBy("px", "py", "src_bg", "radius").agg(
-        F.first("m").alias("m"), *[F.sum(F.col("n")[2 * i + t]).alias(f"_{'nt'[t]}{i}") for i in range(len(flat)) for t in (0, 1)])
+    around = radius_sums(sources, nodes, radii, ["px", "py", "src_bg"], ["m"], 2 * len(flat))
     entries = F.array(*[
         F.struct(F.lit(s).alias("state"), F.lit(scopes[q]).alias("scope"), F.col("m")[s].alias("m"),
-                 (F.col(f"_n{i}") - 1).alias("deg"), (F.col(f"_t{i}") - int(same)).alias("hit"))
+                 (F.col("n")[2 * i] - 1).alias("deg"), (F.col("n")[2 * i + 1] - int(same)).alias("hit"))
         for i, (s, q) in enumerate(flat)])
     per_position = around.select("src_bg", "radius", F.explode(entries).alias("e")).select("src_bg", "radius", "e.*").filter("m > 0")
     linked = F.col("deg") > 0
