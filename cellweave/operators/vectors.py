@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialise
 
-BLOCK = 2048  # vectors of a cell, about, and of each side of a block
+BLOCK = 2048  # vectors of a leaf, about, and of each side of a block
+FAN = 64  # children of a tree node, at most
+LEVELS = 6  # of the tree, at most; a larger leaf is dealt to more blocks
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -55,48 +57,98 @@ def _meet(asked: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return dealt.groupBy("cell", "qp", "vp").applyInArrow(_top(k), "src bigint, dst bigint, d2 double")
 
 
+def _near_pivots(search: bool):
+    """Rows of a node against its pivots: each row with its nearest child, or with every child that its bound cannot rule out."""
+    def of_part(table: pa.Table) -> pa.Table:
+        pivots, rows = table.filter(table["cell"].is_valid()).sort_by("cell"), table.filter(table["cell"].is_null())
+        far = np.sqrt(_distances(_matrix(rows["vec"]), _matrix(pivots["vec"]))) if len(rows) and len(pivots) else np.zeros((0, 0))
+        cells = pivots["cell"].to_numpy()
+        if search and len(far):
+            row, at = np.nonzero(far - pivots["far"].to_numpy()[None, :] <= rows["far"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9)
+        else:
+            row, at = np.arange(len(far)), far.argmin(axis=1) if len(far) else np.zeros(0, np.int64)
+        found = rows.take(pa.array(row)) if len(far) else rows.slice(0, 0)
+        away = found["far"] if search else pa.array(_gaps(found, pivots, at, far), pa.float64())
+        return pa.table({"cell": pa.array(cells[at], pa.int64()), "id": found["id"], "vec": found["vec"], "far": away})
+    return of_part
+
+
+def _gaps(rows: pa.Table, pivots: pa.Table, at: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Distance to the nearest pivot, 0 for its copies."""
+    if not len(far):
+        return np.zeros(0)
+    copies = (_matrix(rows["vec"]) == _matrix(pivots["vec"])[at]).all(axis=1)
+    return np.where(copies, 0.0, far[np.arange(len(far)), at])
+
+
+def _descend(rows: DataFrame, pivots: DataFrame, search: bool) -> DataFrame:
+    """Rows (cell, id, vec, far) against the pivots (node, cell, vec, far) of their cell, in parts of bounded size."""
+    parts = rows.join(pivots.select(F.col("node").alias("cell")).distinct(), "cell", "left_semi").groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
+    dealt = rows.join(parts, "cell").select(F.col("cell").alias("node"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(None).cast("bigint").alias("cell"), "id", "vec", "far")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    guides = pivots.join(parts.withColumnRenamed("cell", "node"), "node").select("node", every, "cell", F.lit(None).cast("bigint").alias("id"), "vec", "far")
+    return dealt.unionByName(guides).groupBy("node", "part").applyInArrow(_near_pivots(search), "cell bigint, id bigint, vec array<double>, far double")
+
+
+def _pivots(rows: DataFrame, level: int) -> DataFrame:
+    """One pivot for about BLOCK rows of a node, at most FAN, by a hash of the id: a thinned choice first, so that no task orders a whole node."""
+    code = F.xxhash64("id", F.lit(level))
+    want = F.least(F.lit(FAN), F.ceil(F.col("n") / BLOCK))
+    thin = rows.filter(F.pmod(code, F.lit(2 ** 40)).cast("double") * F.col("n") < (4 * want + 64) * 2.0 ** 40)
+    ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(code, "id"))).filter(F.col("rank") <= want)
+    return ranked.select(F.col("cell").alias("node"), (F.col("cell") * (FAN + 1) + F.col("rank")).alias("cell"), "vec")
+
+
+def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (cell, id, vec) and, per level, the pivots (node, cell, vec, far = covering radius, leaf); the root is cell 0."""
+    rows, leaves, levels, pivots = points.select(F.lit(0).cast("bigint").alias("cell"), "id", "vec", F.lit(float("inf")).alias("far")), [], [], None
+    for level in range(LEVELS + 1):
+        small = (F.col("n") <= 2 * BLOCK) | (F.col("far") == 0) | F.lit(level == LEVELS)
+        state = materialise(rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).withColumn("leaf", small))
+        if pivots is not None:
+            levels.append(materialise(pivots.join(state.drop("n"), "cell").select("node", "cell", "vec", "far", "leaf")))
+        leaves.append(rows.join(state.filter("leaf"), "cell", "left_semi").select("cell", "id", "vec"))
+        if state.filter("not leaf").isEmpty():
+            break
+        rows = rows.join(state.filter("not leaf").select("cell", "n"), "cell")
+        pivots = materialise(_pivots(rows, level))
+        rows = materialise(_descend(rows.drop("n"), pivots.withColumn("far", F.lit(0.0)), search=False))
+    whole = leaves[0]
+    for more in leaves[1:]:
+        whole = whole.unionByName(more)
+    return whole, levels
+
+
 def knn_vectors(points: DataFrame, k: int) -> DataFrame:
     """Exact k nearest other vectors: (src, dst, dist, rank) for points (cell_id, embedding); ties go to the smaller id.
 
-    Vectors go to the cell of their nearest pivot (about BLOCK to a cell, pivots by a hash of the id). Each is first
-    searched in its own cell; the k-th distance found there and the triangle inequality say which other cells can
-    hold something nearer, and it is sent to those alone. Near-random vectors rule nothing out: then every pair of
-    blocks meets once, as matrix products, and only k rows of each leave a block.
+    A tree of pivots is kept as tables: a node has at most FAN children, a leaf about BLOCK vectors, and each child its
+    covering radius. A vector is first searched in its own leaf; with the k-th distance found there it goes down the
+    tree by joins, into those children only that the triangle inequality cannot rule out. The driver sees counts, no
+    vectors. Near-random vectors rule nothing out: then every pair of blocks meets once, as matrix products, and only
+    k rows of each leave a block. Copies of one vector cannot be told apart and stay one leaf, dealt to blocks.
     """
     points = materialise(points.select(F.col("cell_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vec")))
     n = points.count()
     k = min(k, n - 1)
     if k < 1:
         return points.sparkSession.createDataFrame([], "src bigint, dst bigint, dist double, rank int")
-    pivots = np.array([r[0] for r in points.orderBy(F.xxhash64("id"), "id").limit(-(-n // BLOCK)).select("vec").collect()], dtype=np.float64)
-
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                far = np.sqrt(_distances(_matrix(batch["vec"]), pivots))
-                cell = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch["id"], batch["vec"], pa.array(far[np.arange(len(cell)), cell])], names=["cell", "id", "vec", "away"])
-
-    celled = materialise(points.mapInArrow(assign, "cell int, id bigint, vec array<double>, away double"))
-    near = materialise(_meet(celled, celled, k))
-    if len(pivots) > 1:
-        radius = np.full(len(pivots), -np.inf)
-        for r in celled.groupBy("cell").agg(F.max("away").alias("r")).collect():  # one row per pivot
-            radius[r["cell"]] = r["r"]
-        reach = near.groupBy("src").agg(F.count("*").alias("found"), F.sort_array(F.collect_list("d2")).alias("d"))  # k rows per block of the own cell
+    leaves, levels = _tree(points)
+    leaves = materialise(leaves)
+    near = materialise(_meet(leaves, leaves, k))
+    if levels:
+        reach = near.groupBy("src").agg(F.count("*").alias("found"), F.sort_array(F.collect_list("d2")).alias("d"))  # k rows per block of the own leaf
         bound = reach.select(F.col("src").alias("id"), F.when(F.col("found") >= k, F.sqrt(F.get("d", F.lit(k - 1)))).alias("bound"))
-        asked = celled.select("cell", "id", "vec").join(bound, "id", "left").select("cell", "id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-
-        def send(batches):
-            for batch in batches:
-                if len(batch):
-                    far = np.sqrt(_distances(_matrix(batch["vec"]), pivots))
-                    may = far - radius[None, :] <= batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
-                    may[np.arange(len(batch)), batch["cell"].to_numpy()] = False
-                    row, cell = np.nonzero(may)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch["id"].take(at), batch["vec"].take(at)], names=["cell", "id", "vec"])
-
-        near = near.unionByName(_meet(materialise(asked.mapInArrow(send, "cell int, id bigint, vec array<double>")), celled, k))
+        asked = leaves.select("id", "vec").join(bound, "id", "left").select(F.lit(0).cast("bigint").alias("cell"), "id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("far"))
+        sent = []
+        for level in levels:
+            hits = materialise(_descend(asked, level.drop("leaf"), search=True).join(level.select("cell", "leaf"), "cell"))
+            sent.append(hits.filter("leaf").select("cell", "id", "vec"))
+            asked = hits.filter("not leaf").drop("leaf")
+        others = sent[0]
+        for more in sent[1:]:
+            others = others.unionByName(more)
+        others = others.join(leaves.select("cell", "id"), ["cell", "id"], "left_anti")  # the own leaf is searched
+        near = near.unionByName(_meet(materialise(others), leaves, k))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("d2", "dst"))).filter(F.col("rank") <= k)
     return ranked.select("src", "dst", F.sqrt("d2").alias("dist"), "rank")
