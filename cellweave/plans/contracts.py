@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import affine_struct_problem
-from ..operators import integration as I, protein as PR, revisions as R, validate as V
+from ..operators import alignment as A, integration as I, protein as PR, revisions as R, validate as V
 from ..operators.models import feature_order
 from ..session import materialise
 from ..sources import registry, sinks, text
@@ -398,6 +398,26 @@ def val_18(t: Tables) -> DataFrame:
     return R.table_mismatch(stored, again, ["cell_id"]).groupBy("field").agg(F.count("*").alias("mismatches"))
 
 
+@query("VAL_18_signed_embedding", (), """with p as (select vec_id, j, embedding[j+1]::double as b from embeddings, range(64) r(j)),
+    q as (select vec_id, j, b, b*(case when j%2=0 then -1 else 1 end) + case when j=3 and vec_id%7=0 then 0.001 else 0 end as a from p),
+    s as (select j, case when sum(a*b)<0 then -1.0::double else 1.0::double end as sg from q group by j)
+    select j::int as component, count(*) as mismatches from q join s using (j) where abs(a-b*sg) > greatest(1e-9, 1e-7*greatest(abs(a),abs(b))) group by j""")
+def val_18_signed(t: Tables) -> DataFrame:
+    """A copy with every other component flipped is the same embedding; its changed values are not."""
+    flip = F.transform("embedding", lambda v, j: F.when(j % 2 == 0, -v).otherwise(v) + F.when((j == 3) & (F.col("cell_id") % 7 == 0), 0.001).otherwise(0.0))
+    off = A.sign_mismatch(t.embeddings.select("cell_id", flip.alias("embedding")), t.embeddings)
+    return off.groupBy("component").agg(F.count("*").alias("mismatches"))
+
+
+@query("VAL_18_renamed_clusters", ["cells"], """with p as (select case when cell_id%11=0 then 'n0' else region end as s, 'k' || reverse(region) as r from cells),
+    c as (select s, r, count(*) as n, row_number() over (partition by s order by count(*) desc) as k, sum(count(*)) over (partition by s) as m from p group by s, r)
+    select s as stored, r as recomputed, n as agreeing, (m-n)::bigint as disagreeing from c where k=1""")
+def val_18_renamed(t: Tables) -> DataFrame:
+    """A renamed partition, a part of whose rows went to another cluster."""
+    moved = F.when(F.col("cell_id") % 11 == 0, "n0").otherwise(F.col("region"))
+    return A.match_names(t.cells.select("cell_id", moved.alias("cluster")), t.cells.select("cell_id", F.concat(F.lit("k"), F.reverse("region")).alias("cluster")))
+
+
 @query("VAL_19_affine_validity", (), "select coalesce(problem,'valid') as problem, count(*) as affines from (select case when p_size%5=0 then 'singular' end as problem from part) group by 1")
 def val_19(t: Tables) -> DataFrame:
     k = F.col("p_size") % 5
