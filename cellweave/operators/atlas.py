@@ -1,14 +1,14 @@
 """Cells, molecules and boundaries at slide scale: extents, exact density pyramids, viewports."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import polygon_problem_udf
 from ..sources.sinks import write_review
+from . import quadtree
 from .filters import within
 
 # Pyramid levels and per-view budgets of the display contract.
@@ -121,6 +121,35 @@ def boundaries_in(boundaries: DataFrame, bounds: Sequence[float]) -> DataFrame:
     return boundaries.filter((F.col("maxx") >= x0) & (F.col("minx") <= x1) & (F.col("maxy") >= y0) & (F.col("miny") <= y1))
 
 
+def stored_grid(tree: quadtree.Tree, bounds: Sequence[float], grid: int = 64) -> DataFrame:
+    """``density_grid`` from a stored tree: whole tiles by their totals, rows only where a tile is cut by a bin's edge."""
+    if grid not in (16, 32, 64, 128):
+        raise ValueError("grid must be 16, 32, 64 or 128")
+    x0, y0, x1, y1 = map(float, bounds)
+    dx, dy = (x1 - x0) / grid, (y1 - y0) / grid
+    return quadtree.density(tree, bounds, grid).withColumnRenamed("n", "count").withColumns(
+        {"x": F.lit(x0) + F.col("gx") * dx, "y": F.lit(y0) + F.col("gy") * dy, "width": F.lit(dx), "height": F.lit(dy)})
+
+
+def stored_view(layer: DataFrame, tree: quadtree.Tree, bounds: Sequence[float], limit: int = 10_000, grid: int = 64,
+                pyramid: DataFrame | None = None, whole: bool = False) -> View:
+    """``view`` of a stored layer whose total and density come from its tree; a whole extent is read from its levels."""
+    within(bounds)  # checks the bounds
+    total = int(quadtree.total(tree, bounds).first()["n"])
+    if total <= limit or (whole and pyramid is not None):
+        return view(layer, bounds, limit, grid, pyramid, whole, total)
+    return View("aggregate_density", total, stored_grid(tree, bounds, grid))
+
+
+def stored_boundary_view(boundaries: DataFrame, tree: quadtree.Tree, bounds: Sequence[float], limit: int = MAX_POLYGONS) -> View:
+    """``boundary_view`` whose polygon and vertex totals come from the stored tree of bounding boxes."""
+    within(bounds)
+    row = quadtree.total(tree, bounds).first()
+    fits = row["n"] <= min(limit, MAX_POLYGONS) and row["vertex_count"] <= MAX_VERTICES
+    hit = boundaries_in(boundaries, bounds)
+    return View("exact_boundaries" if fits else "zoom_required", row["n"], hit if fits else hit.limit(0))
+
+
 def boundary_view(boundaries: DataFrame, bounds: Sequence[float], limit: int = MAX_POLYGONS) -> View:
     """Exact polygons within both budgets, otherwise the total and a request to zoom."""
     hit = boundaries_in(boundaries, bounds)
@@ -156,31 +185,45 @@ def totals(**tables: DataFrame) -> DataFrame:
 
 @dataclass
 class Atlas:
-    """A stored atlas: tables clustered by tile, boundary boxes without rings, and the cells' density pyramid."""
+    """A stored atlas: tables clustered by tile, boundary boxes without rings, density levels, and a tree of tile sums per layer."""
 
     cells: DataFrame
     counts: DataFrame
     transcripts: DataFrame
     boundaries: DataFrame
     pyramid: DataFrame
+    molecule_pyramid: DataFrame
+    cell_tree: quadtree.Tree
+    molecule_tree: quadtree.Tree
+    feature_tree: quadtree.Tree  # molecules, a tree per feature
+    boundary_tree: quadtree.Tree
 
 
 def write_atlas(path: str, cells: DataFrame, counts: DataFrame, transcripts: DataFrame, vertices: DataFrame, window: Sequence[float], tile: float = 64.0) -> Atlas:
-    """Write the atlas once per input; viewport filters on the stored coordinates prune row groups, levels are read as they are."""
+    """Write the atlas once per input; viewport filters on the stored coordinates prune row groups, levels and sums are read as they are."""
     def tiled(df: DataFrame, x: str, y: str, *more: str) -> DataFrame:
         marked = df.withColumns({"gx": F.floor(F.col(x) / tile), "gy": F.floor(F.col(y) / tile)})
         return marked.repartitionByRange("gx", "gy").sortWithinPartitions("gx", "gy", *more).drop("gx", "gy")
 
     tables = {"cells": tiled(cells, "x", "y"), "counts": counts.repartitionByRange("cell_id").sortWithinPartitions("cell_id"),
-              "transcripts": tiled(transcripts, "x", "y", "feature"), "boundaries": tiled(boundary_boxes(vertices), "minx", "miny"),
-              "pyramid": density_pyramid(cells, window)}
-    for name, df in tables.items():
+              "transcripts": tiled(transcripts, "x", "y", "feature"), "boundaries": tiled(boundary_boxes(vertices), "minx", "miny")}
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
-    return open_atlas(path, {name: df.schema for name, df in tables.items()}, cells.sparkSession)
+        return cells.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    layers = {name: stored(name, df) for name, df in tables.items()}
+    rows = {name: layers[name].count() for name in ("cells", "transcripts", "boundaries")}
+    features = layers["transcripts"].select("feature").distinct().count()
 
+    def tree(name: str, layer: str, keys: Sequence[str] = (), weights: Sequence[str] = (), groups: int = 1) -> quadtree.Tree:
+        return quadtree.write_tree(f"{path}/{name}", layers[layer], window, quadtree.depth_for(rows[layer], groups), keys, weights)
 
-def open_atlas(path: str, schemas: Mapping[str, StructType], spark: SparkSession) -> Atlas:
-    return Atlas(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items()})
+    return Atlas(**layers, pyramid=stored("pyramid", density_pyramid(layers["cells"], window)),
+                 molecule_pyramid=stored("molecule_pyramid", density_pyramid(layers["transcripts"], window)),
+                 cell_tree=tree("cell_tree", "cells"), molecule_tree=tree("molecule_tree", "transcripts"),
+                 feature_tree=tree("feature_tree", "transcripts", ["feature"], groups=max(features, 1)),
+                 boundary_tree=tree("boundary_tree", "boundaries", weights=["vertex_count"]))
 
 
 def write_roi(path: str, cells: DataFrame, counts: DataFrame, features: DataFrame, bounds: Sequence[float]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Counts, quality, proteins and molecules."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids, numeric
-from ..operators import atlas, expression as E, filters, protein as PR, quality, ranking, spatial, validate
+from ..operators import atlas, expression as E, filters, protein as PR, quadtree, quality, ranking, spatial, validate
 from ..session import materialise
 from .annotation import rounded
 from .registry import query
@@ -310,6 +312,11 @@ def agg_18(t: Tables) -> DataFrame:
     return t.atlas.pyramid
 
 
+@query("AGG_18_transcript_pyramid", ["transcripts"], " union all ".join(_bin_sql(str(v), "transcripts") for v in atlas.LEVELS))
+def agg_18_transcripts(t: Tables) -> DataFrame:
+    return t.atlas.molecule_pyramid
+
+
 _X0, _Y0, _X1, _Y1 = VIEW
 _DX, _DY = (_X1 - _X0) / 32, (_Y1 - _Y0) / 32
 
@@ -317,12 +324,65 @@ _DX, _DY = (_X1 - _X0) / 32, (_Y1 - _Y0) / 32
 @query("AGG_19_viewport_density", ["transcripts"], f"""select *, {_X0}::double+gx*{_DX}::double as x, {_Y0}::double+gy*{_DY}::double as y, {_DX}::double as width, {_DY}::double as height from (
     select least(31, trunc((x-{_X0}::double)/{_DX}::double))::bigint as gx, least(31, trunc((y-{_Y0}::double)/{_DY}::double))::bigint as gy, count(*) as count from transcripts where x between {_X0} and {_X1} and y between {_Y0} and {_Y1} group by 1,2)""")
 def agg_19(t: Tables) -> DataFrame:
-    return atlas.density_grid(t.atlas.transcripts, VIEW, 32)
+    return atlas.stored_grid(t.atlas.molecule_tree, VIEW, 32)
+
+
+# Viewports of every shape: inside, across a border, beyond it, thin, and one of bins finer than tiles.
+VIEWS = [VIEW, WINDOW, (-50.0, -50.0, 1100.0, 1100.0), (0.0, 0.0, 100.0, 996.0), (500.25, 100.75, 501.5, 900.0), (300.0, 300.0, 301.0, 301.0),
+         (900.0, 900.0, 2000.0, 2000.0), (-10.0, 400.0, 333.3, 401.0), (123.4, 567.8, 890.1, 901.2), (5000.0, 5000.0, 6000.0, 6000.0)]
+_VIEWS_SQL = "(values " + ", ".join(f"({i},{','.join(f'{c}::double' for c in v)})" for i, v in enumerate(VIEWS)) + ") v(view,x0,y0,x1,y1)"
+
+
+@query("AGG_19_ten_viewports", ["transcripts"], f"""select view, feature, gx, gy, count(*) as n from (
+    select view, f.feature, least(15, trunc((x-x0)/((x1-x0)/16)))::bigint as gx, least(15, trunc((y-y0)/((y1-y0)/16)))::bigint as gy
+    from transcripts t join {_VIEWS_SQL} on x between x0 and x1 and y between y0 and y1
+    join (values ('any'),('Brand#23')) f(feature) on f.feature in ('any', t.feature)) group by 1,2,3,4""")
+def agg_19_views(t: Tables) -> DataFrame:
+    trees = {"any": t.atlas.molecule_tree, "Brand#23": t.atlas.feature_tree.of(F.col("feature") == "Brand#23")}
+    grids = [quadtree.density(tree, bounds, 16).select(F.lit(i).alias("view"), F.lit(name).alias("feature"), "gx", "gy", "n")
+             for name, tree in trees.items() for i, bounds in enumerate(VIEWS)]
+    return reduce(DataFrame.unionByName, grids)
+
+
+@query("AGG_20_viewport_totals", ["cells", "transcripts", "vertices"], f"""with boxes as (select count(*) as vertex_count, min(x) as minx, max(x) as maxx, min(y) as miny, max(y) as maxy from vertices group by boundary_id),
+    many as (select view, 'cells' as layer, 0 as vertices from cells join {_VIEWS_SQL} on x between x0 and x1 and y between y0 and y1
+    union all select view, 'transcripts', 0 from transcripts join {_VIEWS_SQL} on x between x0 and x1 and y between y0 and y1
+    union all select view, 'boundaries', vertex_count from boxes join {_VIEWS_SQL} on maxx>=x0 and minx<=x1 and maxy>=y0 and miny<=y1),
+    axes as (select view, layer from {_VIEWS_SQL}, (values ('cells'),('transcripts'),('boundaries')) l(layer))
+    select view, layer, count(vertices) as n, coalesce(sum(vertices),0)::bigint as vertices from axes left join many using (view, layer) group by 1,2""")
+def agg_20_totals(t: Tables) -> DataFrame:
+    layers = {"cells": t.atlas.cell_tree, "transcripts": t.atlas.molecule_tree, "boundaries": t.atlas.boundary_tree}
+    rows = [quadtree.total(tree, bounds).select(F.lit(i).alias("view"), F.lit(name).alias("layer"), "n",
+                                                (F.col("vertex_count") if tree.weights else F.lit(0)).cast("bigint").alias("vertices"))
+            for name, tree in layers.items() for i, bounds in enumerate(VIEWS)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_IN_VIEW = f"x between {_X0} and {_X1} and y between {_Y0} and {_Y1}"
+
+
+@query("AGG_20_viewport_modes", ["cells", "transcripts", "vertices"], f"""with b as (select boundary_id, count(*) as v from vertices group by 1 having max(x)>={_X0} and min(x)<={_X1} and max(y)>={_Y0} and min(y)<={_Y1}),
+    bt as (select count(*) as n, coalesce(sum(v),0) as v from b), ct as (select count(*) as n from cells where {_IN_VIEW}), ft as (select count(*) as n from transcripts where feature='Brand#23' and {_IN_VIEW}),
+    wt as (select count(*) as n from transcripts where x between {WINDOW[0]} and {WINDOW[2]} and y between {WINDOW[1]} and {WINDOW[3]})
+    select 'cells' as asked, case when n<=10000 then 'exact_points' else 'aggregate_density' end as mode, n as total, n as counted from ct
+    union all select 'feature', case when n<=10000 then 'exact_points' else 'aggregate_density' end, n, n from ft
+    union all select 'grid', 'aggregate_density', count(*), count(*) from transcripts where {_IN_VIEW}
+    union all select 'level', 'aggregate_density', n, (select count(*) from transcripts) from wt
+    union all select 'boundaries', case when n<=2000 and v<=100000 then 'exact_boundaries' else 'zoom_required' end, n, case when n<=2000 and v<=100000 then n else 0 end from bt""")
+def agg_20_modes(t: Tables) -> DataFrame:
+    a, feature = t.atlas, F.col("feature") == "Brand#23"
+    seen = {"cells": atlas.stored_view(a.cells, a.cell_tree, VIEW), "feature": atlas.stored_view(a.transcripts.filter(feature), a.feature_tree.of(feature), VIEW),
+            "grid": atlas.stored_view(a.transcripts, a.molecule_tree, VIEW, limit=1),
+            "level": atlas.stored_view(a.transcripts, a.molecule_tree, WINDOW, limit=1, pyramid=a.molecule_pyramid, whole=True),
+            "boundaries": atlas.stored_boundary_view(a.boundaries, a.boundary_tree, VIEW)}
+    counted = lambda v: F.coalesce(F.sum("count"), F.lit(0)) if v.mode == "aggregate_density" else F.count("*")
+    return reduce(DataFrame.unionByName, [v.records.agg(counted(v).alias("counted")).select(
+        F.lit(name).alias("asked"), F.lit(v.mode).alias("mode"), F.lit(v.total).cast("bigint").alias("total"), "counted") for name, v in seen.items()])
 
 
 @query("AGG_20_viewport_answer", ["transcripts"], f"select 'aggregate_density' as mode, count(*) as total, count(*) as counted from transcripts where x between {_X0} and {_X1} and y between {_Y0} and {_Y1}")
 def agg_20(t: Tables) -> DataFrame:
-    seen = atlas.view(t.atlas.transcripts, VIEW, limit=1, grid=64)
+    seen = atlas.stored_view(t.atlas.transcripts, t.atlas.molecule_tree, VIEW, limit=1, grid=64)
     return seen.records.agg(F.lit(seen.mode).alias("mode"), F.lit(seen.total).cast("bigint").alias("total"), F.sum("count").alias("counted"))
 
 
