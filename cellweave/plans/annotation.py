@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import predicates as P
-from ..operators import filters, neighbourhood as N, revisions as R, spatial
+from ..operators import filters, neighbourhood as N, polygons, revisions as R, spatial
 from .registry import query
 from .tables import FIELDS, PROGRAM_A, PROGRAM_B, ROI, SOURCE, TARGET, VIEW, WINDOW, Tables
 
@@ -344,6 +344,13 @@ def flt_09(t: Tables) -> DataFrame:
     return t.roi
 
 
+@query("FLT_09_polygon_set", ["cells", "arrow_edges"], """select polygon_id, count(*) as selected, sum(cell_id)::bigint as id_sum from (select polygon_id, cell_id from cells, arrow_edges group by polygon_id, cell_id
+    having bool_or(abs((ex-ax)*(y-ay)-(ey-ay)*(x-ax)) <= 1e-10*greatest(1,abs(ex-ax),abs(ey-ay)) and x between least(ax,ex)-1e-7 and greatest(ax,ex)+1e-7 and y between least(ay,ey)-1e-7 and greatest(ay,ey)+1e-7)
+    or sum(case when (ay>y)<>(ey>y) and x < (ex-ax)*(y-ay)/(ey-ay)+ax then 1 else 0 end)%2=1) group by 1""")
+def flt_09_set(t: Tables) -> DataFrame:
+    return polygons.select_many(t.cells, t.arrows).groupBy("polygon_id").agg(F.count("*").alias("selected"), F.sum("cell_id").alias("id_sum"))
+
+
 @query("FLT_10_explicit_ids", ["cells"], """with w as (select distinct o_custkey as cell_id from orders where o_totalprice>200000 union all select o_orderkey+100000000 from orders where o_totalprice>450000)
     select (select count(*) from cells where cell_id in (select cell_id from w)) as selected, (select count(*) from w where cell_id not in (select cell_id from cells)) as unknown_ids""")
 def flt_10(t: Tables) -> DataFrame:

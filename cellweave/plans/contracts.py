@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import affine_struct_problem
-from ..operators import alignment as A, integration as I, protein as PR, revisions as R, validate as V
+from ..operators import alignment as A, integration as I, polygons, protein as PR, revisions as R, validate as V
 from ..operators.models import feature_order
 from ..session import materialise
 from ..sources import registry, sinks, text
@@ -391,6 +391,27 @@ def val_17(t: Tables) -> DataFrame:
     return _by_rule(R.overlay_violations(t.cells, t.overlays.unionByName(damaged), {"r3": "r1"}, {"r3": delta}))
 
 
+@query("VAL_17_polygon_replay", ["cells", "places"], """with hits as (select polygon_id as k, cell_id, cell_id=min(cell_id) over (partition by polygon_id) as first from cells, places where abs(x-cx)+abs(y-cy)<=s),
+    noted as (select k, case when k%5=2 and first then k when k%5=4 and first then -cell_id else cell_id end as cell_id from hits where not (k%5=0 and first)),
+    stated as (select p.polygon_id as k, count(n.cell_id) as found, count(n.cell_id)+case when p.polygon_id%7=3 then 1 else 0 end as stated from places p left join noted n on n.k=p.polygon_id group by 1)
+    select k as selection_id, cell_id, 'unknown_cell' as rule from noted where cell_id not in (select cell_id from cells)
+    union all select k, cell_id, 'duplicate_member' from noted group by 1,2 having count(*)>1
+    union all select k, null, 'wrong_count' from stated where found<>stated
+    union all select k, cell_id, 'polygon_does_not_select' from noted anti join (select k, cell_id from hits) h using (k, cell_id)
+    union all select k, cell_id, 'polygon_selects_more' from hits anti join noted using (k, cell_id)""")
+def val_17_polygons(t: Tables) -> DataFrame:
+    k, first = F.col("selection_id"), F.col("cell_id") == F.col("first")
+    hits = polygons.select_many(t.cells, t.diamonds).withColumnRenamed("polygon_id", "selection_id")
+    lowest = hits.groupBy("selection_id").agg(F.min("cell_id").alias("first"))
+    noted = (hits.join(lowest, "selection_id").filter(~((k % 5 == 0) & first))
+             .select("selection_id", F.when((k % 5 == 2) & first, k).when((k % 5 == 4) & first, -F.col("cell_id")).otherwise(F.col("cell_id")).alias("cell_id")))
+    noted = materialise(noted)
+    counts = noted.groupBy("selection_id").agg(F.count("*").alias("n"))
+    stated = t.diamonds.withColumnRenamed("polygon_id", "selection_id").join(counts, "selection_id", "left").select(
+        "selection_id", "ring", (F.coalesce("n", F.lit(0)) + F.when(k % 7 == 3, 1).otherwise(0)).alias("cell_count"))
+    return polygons.selection_violations(t.cells, stated, noted)
+
+
 @query("VAL_18_recomputation", ["cells", "counts"], "select 'total' as field, count(distinct cell_id) as mismatches from counts join cells using (cell_id) where region='n7' having count(*)>0")
 def val_18(t: Tables) -> DataFrame:
     again = t.counts.groupBy("cell_id").agg(F.sum("value").alias("total"), F.count("*").alias("entries"))

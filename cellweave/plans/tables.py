@@ -107,6 +107,23 @@ class Tables:
     def roi(self) -> DataFrame:
         return filters.select_polygon(self.cells, ROI).select("cell_id")
 
+    def _supplier_rings(self, corners: list[tuple[str, str]]) -> DataFrame:
+        """One ring per supplier around a place of its own, corners as expressions of its reach ``s`` (an even number)."""
+        k = F.col("s_suppkey")
+        placed = self.raw("supplier").select(k.alias("polygon_id"), ((k * 7919) % 1009).cast("double").alias("cx"), ((k * 104729) % 997).cast("double").alias("cy"),
+                                             (F.lit(20.0) + 2 * (k % 60)).alias("s"))
+        return placed.select("polygon_id", F.array(*[F.struct((F.col("cx") + F.expr(a)).alias("x"), (F.col("cy") + F.expr(b)).alias("y")) for a, b in corners]).alias("ring"))
+
+    @cached_property
+    def arrows(self) -> DataFrame:
+        """A concave polygon per supplier."""
+        return self._supplier_rings([("0", "-s"), ("s", "s"), ("0", "s/2"), ("-s", "s")])
+
+    @cached_property
+    def diamonds(self) -> DataFrame:
+        """The points within a walking distance ``s`` of each supplier's place."""
+        return self._supplier_rings([("0", "-s"), ("s", "0"), ("0", "s"), ("-s", "0")])
+
     @cached_property
     def with_attributes(self) -> DataFrame:
         """Cells with typed attributes that mix absent, null, text, boolean and numeric values."""
@@ -194,6 +211,10 @@ SQL_TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         having bool_or(abs((ex-ax)*(y-ay)-(ey-ay)*(x-ax)) <= 1e-10*greatest(1,abs(ex-ax),abs(ey-ay))
             and x between least(ax,ex)-1e-7 and greatest(ax,ex)+1e-7 and y between least(ay,ey)-1e-7 and greatest(ay,ey)+1e-7)
         or sum(case when (ay>y)<>(ey>y) and x < (ex-ax)*(y-ay)/(ey-ay)+ax then 1 else 0 end)%2=1"""),
+    "places": ((), """select s_suppkey as polygon_id, cast((s_suppkey*7919)%1009 as double) as cx, cast((s_suppkey*104729)%997 as double) as cy,
+        cast(20+2*(s_suppkey%60) as double) as s from supplier"""),
+    "arrow_edges": (("places",), """select polygon_id, cx+a*s as ax, cy+b*s as ay, cx+c*s as ex, cy+d*s as ey from places,
+        (values (0,-1,1,1),(1,1,0,0.5),(0,0.5,-1,1),(-1,1,0,-1)) v(a,b,c,d)"""),
     "attrs": (("cells",), """select cell_id, 'qc' as field, case when cell_id%6=0 then 'absent' when cell_id%6=1 then 'null' when cell_id%6=2 then 'str' when cell_id%6=3 then 'bool' else 'num' end as kind,
         case when cell_id%6>=4 then floor(qc_balance/1000) end as num, case when cell_id%6=2 then cast(cast(floor(qc_balance/1000) as bigint) as varchar) end as str from cells
         union all select cell_id, 'transcript_counts', 'num', floor(abs(qc_balance)), null from cells
