@@ -171,6 +171,32 @@ def result_axes(compositions: DataFrame | None = None, probabilities: DataFrame
     return _union(parts)
 
 
+def matrix_axes(values: DataFrame, cells: DataFrame, axis: DataFrame, column: str = "feature_id") -> DataFrame:
+    """A stored result matrix (cell_id, column, value) against its axes: each cell has one finite value per axis item, and nothing else.
+
+    Only the axis's size reaches the driver. Null keys are foreign; null values are not finite. No cells and no values: no violations.
+    """
+    size = axis.select(column).distinct().count()
+    entry = F.concat_ws("|", F.coalesce(F.col("cell_id").cast("string"), F.lit("null")), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    own = values.join(axis.select(column), column, "left_semi").select("cell_id", column).distinct().groupBy("cell_id").agg(F.count("*").alias("n"))
+    short = cells.select("cell_id").join(own, "cell_id", "left").filter(F.coalesce("n", F.lit(0)) != size)
+    return _union([
+        _rule(values.join(cells.select("cell_id"), "cell_id", "left_anti"), "row_not_observed", entry),
+        _rule(values.join(axis.select(column), column, "left_anti"), "column_not_on_axis", entry),
+        _rule(duplicates(values, "cell_id", column), "duplicate_entry", entry),
+        _rule(values.filter(_bad_number(F.col("value"))), "nonfinite_value", entry),
+        _rule(short, "incomplete_row", F.col("cell_id"))])
+
+
+def domain_axis(domains: DataFrame, cells: DataFrame) -> DataFrame:
+    """Domains (cell_id, domain) against the observations: one non-null name per cell, and no other cells."""
+    named = domains.filter("domain is not null")
+    return _union([
+        _rule(domains.join(cells.select("cell_id"), "cell_id", "left_anti"), "row_not_observed", F.coalesce(F.col("cell_id").cast("string"), F.lit("null"))),
+        _rule(duplicates(domains, "cell_id"), "duplicate_row", F.col("cell_id")),
+        _rule(cells.join(named.select("cell_id"), "cell_id", "left_anti"), "cell_without_domain", F.col("cell_id"))])
+
+
 def correspondence(edges: DataFrame, left: DataFrame, right: DataFrame, relation: str, same_sample: bool = True) -> DataFrame:
     """Rule violations of a mapping (left_id, right_id, weight) between two id tables."""
     if relation not in CORRESPONDENCES:

@@ -322,6 +322,36 @@ def val_10(t: Tables) -> DataFrame:
     return _by_rule(V.result_axes(compositions=t.cells.select("cell_id", share.alias("fractions")), transport=_transport(t)[0], shape=(40, 20)))
 
 
+@query("VAL_10_pathway_and_domain_axes", ["cells"], """with a as (select distinct label as feature_id from cells), v as (
+    select cell_id, feature_id, case when region='n3' then null else qc_balance end as value from cells, a where not (region='n7' and feature_id='BUILDING')
+    union all select cell_id, 'unlisted', qc_balance from cells where cell_id%11=0 union all select -cell_id, 'BUILDING', qc_balance from cells where cell_id%50=0
+    union all select cell_id, 'MACHINERY', qc_balance from cells where cell_id%17=0)
+    select * from (select 'pathways' as result, 'row_not_observed' as rule, count(*) as violations from v where cell_id<0
+    union all select 'pathways', 'column_not_on_axis', count(*) from v where feature_id='unlisted'
+    union all select 'pathways', 'duplicate_entry', count(*) from (select 1 from v group by cell_id, feature_id having count(*)>1)
+    union all select 'pathways', 'nonfinite_value', count(*) from v where value is null
+    union all select 'pathways', 'incomplete_row', count(*) from cells where region='n7'
+    union all select 'domains', 'duplicate_row', count(*) from cells where cell_id%17=0
+    union all select 'domains', 'cell_without_domain', count(*) from cells where cell_id%13=0) where violations>0""")
+def val_10_axes(t: Tables) -> DataFrame:
+    k, axis = F.col("cell_id"), t.cells.select(F.col("label").alias("feature_id")).distinct()
+    names = [r[0] for r in axis.collect()]  # the market segments
+    dense = (t.cells.withColumn("feature_id", F.explode(F.array(*map(F.lit, names)))).filter("not (region = 'n7' and feature_id = 'BUILDING')")
+             .select("cell_id", "feature_id", F.when(F.col("region") != "n3", F.col("qc_balance")).alias("value")))
+    extra = lambda chosen, cell, name: t.cells.filter(chosen).select(cell.alias("cell_id"), F.lit(name).alias("feature_id"), F.col("qc_balance").alias("value"))
+    values = dense.unionByName(extra(k % 11 == 0, k, "unlisted")).unionByName(extra(k % 50 == 0, -k, "BUILDING")).unionByName(extra(k % 17 == 0, k, "MACHINERY"))
+    domains = t.cells.select("cell_id", F.when(k % 13 != 0, F.col("label")).alias("domain"))
+    domains = domains.unionByName(domains.filter(k % 17 == 0))
+    checked = {"pathways": V.matrix_axes(values, t.cells, axis), "domains": V.domain_axis(domains, t.cells)}
+    one, two = [_by_rule(df).withColumn("result", F.lit(name)) for name, df in checked.items()]
+    return one.unionByName(two)
+
+
+@query("VAL_11_unmapped", ["cells"], "select 'left' as side, count(*) as unmapped_count from cells where cell_id%3=0 union all select 'right', count(*) from cells where cell_id%3=0 and region<>'n7'")
+def val_11_unmapped(t: Tables) -> DataFrame:
+    return V.unmapped(_edges(t).filter("left_id % 3 <> 0"), t.cells, t.cells.filter("region <> 'n7'"))
+
+
 def _edges(t: Tables) -> DataFrame:
     return t.cells.select(F.col("cell_id").alias("left_id"), F.col("cell_id").alias("right_id"), F.when(F.col("region") == "n3", 0.5).otherwise(1.0).alias("weight"))
 

@@ -229,6 +229,14 @@ def ord_03(t: Tables) -> DataFrame:
     return rows.orderBy(*ranked(rows, "p_value", "score", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).limit(200).drop("score")
 
 
+@query("ORD_03_ranked_by_score", (), f"""with {_PV} select * from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber<7 then round(p_value,1) end as q, l_partkey%97 as score
+    from pv order by q nulls last, score desc, l_orderkey, l_partkey, l_suppkey, l_linenumber limit 500)""")
+def ord_03_score(t: Tables) -> DataFrame:
+    from ..operators.filters import ranked
+    rows = _p_values(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") < 7, F.round("p_value", 1)).alias("q"), (F.col("l_partkey") % 97).alias("score"))
+    return rows.orderBy(*ranked(rows, "q", "score", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).limit(500)
+
+
 @query("FN_10_entropy", (), "select o_custkey, round(sum(-p*ln(p)),8) as entropy from (select o_custkey, o_totalprice/sum(o_totalprice) over (partition by o_custkey) as p from orders) group by 1")
 def fn_10(t: Tables) -> DataFrame:
     share = F.col("o_totalprice") / F.sum("o_totalprice").over(W.partitionBy("o_custkey"))
