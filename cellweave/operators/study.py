@@ -11,6 +11,7 @@ from ..functions.distributions import normal_p_value, t_critical, t_p_value
 from ..functions.numeric import Z_975
 from .ranking import benjamini_hochberg
 
+FAMILY_PARTS = 32
 _SUBJECT = ("subject_id", "condition", "metric")
 
 
@@ -22,12 +23,17 @@ def subject_means(records: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def missing_sections(records: DataFrame, sections: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Declared section x metric cells without a record. ``metrics`` is the declared family (at most 100)."""
-    family = [r[0] for r in metrics.select("metric").distinct().limit(101).collect()]
-    if len(family) > 100:
-        raise ValueError("declare at most 100 metrics")
-    declared = sections.select("section_id", "subject_id", "condition").withColumn("metric", F.explode(F.array(*[F.lit(m) for m in family])))
-    return declared.join(records.select("section_id", "metric"), ["section_id", "metric"], "left_anti")
+    """Declared section x metric cells without a record, for a declared family of any size.
+
+    Only sections that lack some metric are laid out against the family, which is dealt to ``FAMILY_PARTS`` parts.
+    """
+    family = metrics.select("metric").distinct()
+    recorded = records.join(family, "metric", "left_semi").select("section_id", "metric").distinct()
+    whole = recorded.groupBy("section_id").agg(F.count("*").alias("n")).filter(F.col("n") == family.count())
+    dealt = family.withColumn("part", F.pmod(F.hash("metric"), F.lit(FAMILY_PARTS)))
+    declared = (sections.select("section_id", "subject_id", "condition").join(whole, "section_id", "left_anti")
+                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_PARTS - 1)))).join(dealt, "part").drop("part"))
+    return declared.join(recorded, ["section_id", "metric"], "left_anti")
 
 
 def confounding(sections: DataFrame) -> DataFrame:

@@ -26,3 +26,14 @@ def test_domain_axis(spark):
     assert found(V.domain_axis(table([(1, "d"), (2, "e"), (3, "d")]), cells)) == set()
     assert found(V.domain_axis(table([(1, "d"), (1, "d"), (2, None), (7, "d")]), cells)) == {
         ("duplicate_row", "1"), ("cell_without_domain", "2"), ("cell_without_domain", "3"), ("row_not_observed", "7")}
+
+
+def test_a_family_of_many_metrics(spark):
+    from cellweave.operators import study
+    metrics = spark.range(300).selectExpr("concat('m', id) as metric")
+    sections = spark.createDataFrame([("s1", 1, "a"), ("s2", 2, "b"), ("s3", 3, "b")], "section_id string, subject_id long, condition string")
+    records = metrics.selectExpr("'s1' as section_id", "metric").union(metrics.filter("metric <> 'm7'").selectExpr("'s2'", "metric")).union(
+        metrics.filter("metric = 'm1'").selectExpr("'s2'", "'unlisted'"))
+    got = [(r["section_id"], r["metric"]) for r in study.missing_sections(records, sections, metrics).collect()]
+    assert sorted(got) == sorted([("s2", "m7"), *[("s3", f"m{i}") for i in range(300)]])
+    assert study.missing_sections(records, sections, metrics.limit(0)).count() == 0
