@@ -97,13 +97,15 @@ def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") ->
     Digest prefixes are uniform, so the 256 buckets per replicate are balanced whatever the ids are.
     """
     text = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(key).cast("string"))
-    hashed = (ids.select(key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count))))
-              .withColumn("_h", F.md5(text)).withColumn("_b", F.substring("_h", 1, 2)))
+    # A replicate of every id is far more than any size estimate of the ids foresees: no join may send it through the driver.
+    # Rows are dealt by the digest's bucket and take the digest itself only where they are ordered.
+    hashed = (ids.select(key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_b", F.substring(F.md5(text), 1, 2)))
     inside = W.partitionBy("perm", "_b").orderBy("_h")
     ahead = W.partitionBy("perm").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = hashed.groupBy("perm", "_b").agg(F.count("*").alias("_bn")).select(
         "perm", "_b", F.coalesce(F.sum("_bn").over(ahead), F.lit(0)).alias("_off"))
-    ranked = (hashed.withColumn("_i", F.row_number().over(inside)).join(offsets, ["perm", "_b"])
+    ranked = (hashed.repartition("perm", "_b").withColumn("_h", F.md5(text)).withColumn("_i", F.row_number().over(inside))
+              .join(offsets.hint("shuffle_hash"), ["perm", "_b"])
               .select("perm", F.col(key).alias("from_id"), (F.col("_off") + F.col("_i") - 1).alias("idx")))
-    placed = ranked.join(dense_index(ids, key), "idx").select("perm", key, "from_id")
+    placed = ranked.join(dense_index(ids, key).hint("shuffle_hash"), "idx").select("perm", key, "from_id")
     return placed.unionByName(ids.select(F.lit(0).alias("perm"), key, F.col(key).alias("from_id")))
