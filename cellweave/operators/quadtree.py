@@ -42,9 +42,11 @@ def _low_high(columns: Sequence[str]) -> tuple[str, str, str, str]:
     return ("minx", "maxx", "miny", "maxy") if "minx" in columns else ("x", "x", "y", "y")
 
 
-def write_tree(path: str, layer: DataFrame, window: Sequence[float], depth: int, keys: Sequence[str] = (), weights: Sequence[str] = ()) -> Tree:
+def write_tree(path: str, layer: DataFrame, window: Sequence[float], depth: int, keys: Sequence[str] = (), weights: Sequence[str] = (), count: str | None = None) -> Tree:
     """Write the tiles and rows of a layer of points (x, y) or boxes (minx, maxx, miny, maxy).
 
+    With ``count`` a row stands for so many rows of the same place.
+
     Rows beyond the window belong to its outermost tiles. Rows without coordinates lie in no tile and no viewport.
     An empty layer has no tiles, and all its sums are 0.
     """
@@ -56,7 +58,8 @@ def write_tree(path: str, layer: DataFrame, window: Sequence[float], depth: int,
     for c in {low_x, high_x, low_y, high_y}:
         known = known & F.col(c).isNotNull()
     coordinates = list(dict.fromkeys([low_x, high_x, low_y, high_y]))
-    placed = layer.filter(known).select(*keys, *coordinates, *weights, place(low_x, x0, x1 - x0).alias("gx"), place(low_y, y0, y1 - y0).alias("gy"))
+    held = [] if count is None else [F.col(count).cast("bigint").alias("n")]
+    placed = layer.filter(known).select(*keys, *coordinates, *weights, *held, place(low_x, x0, x1 - x0).alias("gx"), place(low_y, y0, y1 - y0).alias("gy"))
     ends = dict(zip(_ENDS, [F.min(low_x), F.max(low_x), F.min(high_x), F.max(high_x), F.min(low_y), F.max(low_y), F.min(high_y), F.max(high_y)]))
     kept = [e for e in _ENDS if low_x != high_x or e.startswith("lo")]  # a point's two ends are one
     half = depth // 2
@@ -69,7 +72,7 @@ def write_tree(path: str, layer: DataFrame, window: Sequence[float], depth: int,
         return layer.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
     finest = stored("finest", placed.groupBy(*keys, "gx", "gy").agg(
-        F.count("*").alias("n"), *[F.sum(w).alias(w) for w in weights], *[ends[e].alias(e) for e in kept]))
+        (F.sum("n") if held else F.count("*")).alias("n"), *[F.sum(w).alias(w) for w in weights], *[ends[e].alias(e) for e in kept]))
     extreme = lambda e: F.min(e) if e.endswith("0") else F.max(e)
     levels = (finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
               .withColumns({g: F.expr(f"shiftright({g}, {depth} - level)") for g in ("gx", "gy")})
@@ -80,7 +83,7 @@ def write_tree(path: str, layer: DataFrame, window: Sequence[float], depth: int,
     same = F.lit(True)
     for k in [*keys, "gx", "gy"]:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-    columns = [F.col(f"r.{c}") for c in dict.fromkeys([*keys, *coordinates, *weights, "gx", "gy"])]
+    columns = [F.col(f"r.{c}") for c in dict.fromkeys([*keys, *coordinates, *weights, *(["n"] if held else []), "gx", "gy"])]
     rows = placed.alias("r").join(finest.alias("t"), same).select(*columns, *[F.col(f"t.{e}") for e in kept])
     return Tree(tiles, stored("rows", rows), tuple(weights))
 
@@ -98,12 +101,17 @@ def _row_meets(bounds: Sequence[float], columns: Sequence[str]) -> Column:
     return (high_x >= x0) & (low_x <= x1) & (high_y >= y0) & (low_y <= y1)
 
 
+def _held(tree: Tree) -> Column:
+    """How many rows a stored row stands for."""
+    return (F.col("n") if "n" in tree.rows.columns else F.lit(1).cast("bigint")).alias("n")
+
+
 def total(tree: Tree, bounds: Sequence[float]) -> DataFrame:
     """One row: how many rows meet the closed viewport (``n``), and the sums of the weights over them."""
     names = ["n", *tree.weights]
     # A tile that is used has rows in the viewport, so its parent has too and is only open where it has others.
     whole = tree.tiles.filter(_all_meet(tree, bounds) & ((F.col("level") == 0) | ~_all_meet(tree, bounds, "p_"))).select(*names)
-    rim = rim_rows(tree, bounds).select(F.lit(1).cast("bigint").alias("n"), *tree.weights)
+    rim = rim_rows(tree, bounds).select(_held(tree), *tree.weights)
     return whole.unionByName(rim).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
@@ -131,5 +139,5 @@ def density(tree: Tree, bounds: Sequence[float], grid: int) -> DataFrame:
     whole = (tree.tiles.filter(_all_meet(tree, bounds)).filter(decided() & ((F.col("level") == 0) | ~decided("p_")))
              .select(at_x(F.col("lo_x0")).alias("gx"), at_y(F.col("lo_y0")).alias("gy"), "n"))
     rim = (tree.rows.filter(_row_meets(bounds, ("x", "y"))).filter(~decided())
-           .select(at_x(F.col("x")).alias("gx"), at_y(F.col("y")).alias("gy"), F.lit(1).cast("bigint").alias("n")))
+           .select(at_x(F.col("x")).alias("gx"), at_y(F.col("y")).alias("gy"), _held(tree)))
     return whole.unionByName(rim).groupBy("gx", "gy").agg(F.sum("n").alias("n"))

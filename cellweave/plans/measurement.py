@@ -371,9 +371,9 @@ _IN_VIEW = f"x between {_X0} and {_X1} and y between {_Y0} and {_Y1}"
     union all select 'boundaries', case when n<=2000 and v<=100000 then 'exact_boundaries' else 'zoom_required' end, n, case when n<=2000 and v<=100000 then n else 0 end from bt""")
 def agg_20_modes(t: Tables) -> DataFrame:
     a, feature = t.atlas, F.col("feature") == "Brand#23"
-    seen = {"cells": atlas.stored_view(a.cells, a.cell_tree, VIEW), "feature": atlas.stored_view(a.transcripts.filter(feature), a.feature_tree.of(feature), VIEW),
-            "grid": atlas.stored_view(a.transcripts, a.molecule_tree, VIEW, limit=1),
-            "level": atlas.stored_view(a.transcripts, a.molecule_tree, WINDOW, limit=1, pyramid=a.molecule_pyramid, whole=True),
+    seen = {"cells": atlas.stored_view(lambda: a.cells, a.cell_tree, VIEW), "feature": atlas.stored_view(lambda: a.transcripts.filter(feature), a.feature_tree.of(feature), VIEW),
+            "grid": atlas.stored_view(lambda: a.transcripts, a.molecule_tree, VIEW, limit=1),
+            "level": atlas.stored_view(lambda: a.transcripts, a.molecule_tree, WINDOW, limit=1, pyramid=a.molecule_pyramid, whole=True),
             "boundaries": atlas.stored_boundary_view(a.boundaries, a.boundary_tree, VIEW)}
     counted = lambda v: F.coalesce(F.sum("count"), F.lit(0)) if v.mode == "aggregate_density" else F.count("*")
     return reduce(DataFrame.unionByName, [v.records.agg(counted(v).alias("counted")).select(
@@ -382,7 +382,7 @@ def agg_20_modes(t: Tables) -> DataFrame:
 
 @query("AGG_20_viewport_answer", ["transcripts"], f"select 'aggregate_density' as mode, count(*) as total, count(*) as counted from transcripts where x between {_X0} and {_X1} and y between {_Y0} and {_Y1}")
 def agg_20(t: Tables) -> DataFrame:
-    seen = atlas.stored_view(t.atlas.transcripts, t.atlas.molecule_tree, VIEW, limit=1, grid=64)
+    seen = atlas.stored_view(lambda: t.atlas.transcripts, t.atlas.molecule_tree, VIEW, limit=1, grid=64)
     return seen.records.agg(F.lit(seen.mode).alias("mode"), F.lit(seen.total).cast("bigint").alias("total"), F.sum("count").alias("counted"))
 
 

@@ -70,7 +70,9 @@ class Tables:
         molecule = F.md5(F.concat_ws("|", text("l_orderkey"), text("l_partkey"), text("l_suppkey"), text("l_linenumber"),
                                      F.col("l_quantity").cast("int").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
                                      F.col("l_shipdate").cast("date").cast("string")))
-        return self._lines.join(self.cells, F.col("o_custkey") == F.col("cell_id")).select(
+        owned = self.raw("orders").join(self.cells, F.col("o_custkey") == F.col("cell_id"))  # before the lines, which are shuffled once less
+        lines = self.raw("lineitem").join(owned, F.col("l_orderkey") == F.col("o_orderkey")).join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+        return lines.select(
             molecule.alias("id"), F.col("p_brand").alias("feature"), "cell_id", (F.col("x") + (F.col("l_linenumber") - 4) * 0.25).alias("x"),
             (F.col("y") + (F.col("l_orderkey") % 7 - 3) * 0.25).alias("y"), (F.col("l_discount") * 100).alias("qv"))
 
@@ -84,12 +86,12 @@ class Tables:
 
     @property
     def atlas(self) -> atlas.Atlas:
-        """The stored atlas of this input, written into the shared folder when it is first asked for."""
+        """The stored atlas of this input; its tables are written into the shared folder when they are first asked for."""
         key = (self.spark.sparkContext.applicationId, self.path)
         if key not in _ATLASES:
             ensure_checkpoint_dir(self.spark)
             folder = f"{self.spark.sparkContext.getCheckpointDir()}/atlas-{uuid4().hex}"
-            _ATLASES[key] = atlas.write_atlas(folder, self.cells, self.counts, self.transcripts, self.vertices, WINDOW)
+            _ATLASES[key] = atlas.Atlas(folder, self.cells, self.counts, self.transcripts, self.vertices, WINDOW)
         return _ATLASES[key]
 
     @cached_property

@@ -182,6 +182,20 @@ def test_stored_atlas_is_written_once_and_pushes_filters(spark):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(x" in plan.replace("`", "") and "EqualTo(feature" in plan.replace("`", "")
 
 
+def test_atlas_writes_only_what_is_asked_for(spark, tmp_path):
+    """A density level or boundary viewport writes no molecules; molecules of one place are one row of the trees."""
+    from cellweave.plans.tables import VIEW, WINDOW, Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lazy = atlas.Atlas(str(tmp_path), t.cells, t.counts, t.transcripts.unionByName(t.transcripts), t.vertices, WINDOW)
+    written = lambda: {p.name for p in tmp_path.iterdir()}
+    assert lazy.pyramid.count() and lazy.boundaries.count() and written() == {"pyramid", "boundaries"}
+    seen = atlas.stored_view(lambda: lazy.transcripts, lazy.molecule_tree, VIEW, limit=1, grid=16)
+    everywhere = t.transcripts.filter(filters.within(VIEW)).count()
+    assert seen.total == 2 * everywhere == seen.records.agg(F.sum("count")).first()[0]
+    assert written() == {"pyramid", "boundaries", "places", "molecule_tree"}
+    assert lazy.molecule_tree.rows.count() == t.transcripts.select("feature", "x", "y").distinct().count()
+
+
 def test_matrix_of_several_files(spark, tmp_path):
     """Parts of rising size, the first with the header alone: blocks are dealt by size, and the header still comes first."""
     folder = tmp_path / "matrix"
