@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import display_transform
-from .expression import libraries, spearman
+from .expression import spearman
 from .ranking import quantiles
 
 
@@ -44,11 +44,11 @@ def rna_protein_pairs(cells: DataFrame, counts: DataFrame, protein: DataFrame, g
     """Included cells with a measured protein value, their zero-filled RNA count and per-10k value."""
     measured = protein.filter(F.col("feature_id").isin(*features) & F.col("value").isNotNull()).withColumnRenamed("value", "protein_value")
     active = cells.filter("included").select("cell_id")
-    rna = counts.filter(F.col("feature_id") == gene).groupBy("cell_id").agg(F.sum("value").alias("_c"))
-    out = active.join(measured, "cell_id").join(rna, "cell_id", "left").join(libraries(active, counts).select("cell_id", "library"), "cell_id")
-    raw = F.coalesce("_c", F.lit(0.0))
-    return out.select("cell_id", "feature_id", "protein_value", raw.alias("rna_raw"),
-                      F.when(F.col("library") > 0, raw / F.col("library") * 10000).alias("rna_per_10k"))
+    # Library and gene in one pass: counts may be the end of large joins.
+    sums = counts.groupBy("cell_id").agg(F.sum("value").alias("_library"), F.sum(F.when(F.col("feature_id") == gene, F.col("value"))).alias("_c"))
+    out = active.join(measured, "cell_id").join(sums, "cell_id", "left")
+    raw, library = F.coalesce("_c", F.lit(0.0)), F.coalesce("_library", F.lit(0.0))
+    return out.select("cell_id", "feature_id", "protein_value", raw.alias("rna_raw"), F.when(library > 0, raw / library * 10000).alias("rna_per_10k"))
 
 
 def rna_protein_correlation(pairs: DataFrame) -> DataFrame:

@@ -226,3 +226,13 @@ def test_boundaries_are_dealt_before_they_are_summed(spark):
         "few": None, "twice": "duplicate_vertex_index", "long": "needs_3_to_1000_distinct_vertices", "longtwice": "duplicate_vertex_index"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan and "vertex#" not in "".join(line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
+def test_pairs_read_counts_once(spark, tmp_path):
+    """The gene's count and the library come from one pass over the counts."""
+    spark.createDataFrame([("a", "R", 2.0), ("a", "S", 6.0), ("b", "S", 4.0)], "cell_id string, feature_id string, value double").write.parquet(f"{tmp_path}/counts")
+    cells = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "cell_id string, included boolean")
+    protein = spark.createDataFrame([(c, "P", 1.0) for c in "abcd"], "cell_id string, feature_id string, value double")
+    pairs = PR.rna_protein_pairs(cells, spark.read.parquet(f"{tmp_path}/counts"), protein, "R", ["P"])
+    assert {(r.cell_id, r.rna_raw, r.rna_per_10k) for r in pairs.collect()} == {("a", 2.0, 2500.0), ("b", 0.0, 0.0), ("c", 0.0, None)}
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
