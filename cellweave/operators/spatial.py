@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialise
 
+BLOCK = 2048  # rows of a part of a tile, on each side of a radius join
+TASK_PAIRS = 2_000_000  # pairs of rows that a task of a radius join looks at, about
+MOST_TASKS = 4096
 _SLACK = 1e-9  # tiles are a hair wider than the radius so rounding cannot hide an inclusive neighbour
 
 
@@ -25,11 +28,13 @@ def tile_index(value: Column, side: float) -> Column:
     return F.floor(value / F.lit(side)).cast("bigint")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """All (left, right) rows at distance <= radius; both need x, y and disjoint other columns.
 
     The left side (usually the smaller one: the sources) is copied to its 3x3 tiles. ``by`` adds
-    equality keys such as a slice id. Column ``d2`` is the squared distance.
+    equality keys such as a slice id. Column ``d2`` is the squared distance. The rows are few beside their
+    pairs, so pairs decide how they are dealt: both sides of a tile are cut to parts of about ``block`` rows that meet
+    each other, over as many tasks as the pairs need.
     """
     side = float(radius) * (1 + _SLACK)
     probes = (left.withColumnsRenamed({"x": "_lx", "y": "_ly"})
@@ -37,11 +42,24 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, by: Sequence[s
               .withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t"))
     points = (right.withColumnsRenamed({"x": "_rx", "y": "_ry"})
               .withColumns({"_tx": tile_index(F.col("_rx"), side), "_ty": tile_index(F.col("_ry"), side)}))
+    tile = [*by, "_tx", "_ty"]
+    sizes = materialise(probes.groupBy(*tile).agg(F.count("*").alias("_ln")).join(points.groupBy(*tile).agg(F.count("*").alias("_rn")), tile))
+    pairs = sizes.agg(F.sum(F.col("_ln").cast("double") * F.col("_rn"))).first()[0] or 0
+    tasks = min(MOST_TASKS, math.ceil(pairs / TASK_PAIRS) or 1)
+    parts = sizes.select(*tile, F.ceil(F.col("_ln") / block).alias("_lc"), F.ceil(F.col("_rn") / block).alias("_rc"))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+
+    def own(rows: DataFrame, n: str) -> Column:
+        return F.array(F.pmod(F.xxhash64(*rows.columns), F.col(n)))
+
+    def dealt(rows: DataFrame, lp: Column, rp: Column) -> DataFrame:
+        return rows.join(parts, tile).withColumn("_lp", F.explode(lp)).withColumn("_rp", F.explode(rp)).drop("_lc", "_rc").repartition(tasks, *tile, "_lp", "_rp")
+
     dx, dy = F.col("_lx") - F.col("_rx"), F.col("_ly") - F.col("_ry")
-    return (probes.join(points, [*by, "_tx", "_ty"])
+    return (dealt(probes, own(probes, "_lc"), every("_rc")).join(dealt(points, every("_lc"), own(points, "_rc")).hint("merge"), [*tile, "_lp", "_rp"])
             .withColumn("d2", dx * dx + dy * dy)
             .filter(F.col("d2") <= float(radius) ** 2)
-            .drop("_tx", "_ty", "_lx", "_ly", "_rx", "_ry"))
+            .drop("_tx", "_ty", "_lp", "_rp", "_lx", "_ly", "_rx", "_ry"))
 
 
 def radius_edges(sources: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
