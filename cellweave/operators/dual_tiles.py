@@ -1,19 +1,30 @@
 """Sums of neighbours within a radius, counted by pairs of tiles instead of pairs of points.
 
 A tile pair that lies wholly within the radius adds the target tile's totals to the source tile, one that lies
-wholly beyond it is dropped, and only a pair on the rim is split into its children or, once small, expanded to points.
+wholly beyond it is dropped, and only a pair on the rim is split into its children or, once small, looked at point by point.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import materialise
 from .spatial import _SLACK, _neighbour_tiles
 
 SPLIT = 16  # point pairs of a rim pair that are cheaper to expand than to split into up to 16 child pairs
 LEAST = 1_000_000  # point pairs of all rims together below which another level costs more than it saves
+PACKED_SPLIT = 131_072  # the same two bounds for packed blocks, whose pairs are looked at as matrices
+PACKED_LEAST = 100_000_000
+BLOCK = 1024  # rows of a packed block, about
+MEET = 65_536  # target rows that a group of blocks holds beside its source block, about
+TASK_PAIRS = 8_000_000  # point pairs of a task, about
+MOST_TASKS = 4096
 DEPTH = 20  # halvings of the largest radius; closer positions are no longer told apart and expand to points
 
 
@@ -80,8 +91,65 @@ def tile_pairs(sources: DataFrame, nodes: DataFrame, radii: Sequence[float], dep
             pairs = pairs.join(children, [f"_{tag}x", f"_{tag}y"])
 
 
+def _met(width: int) -> Callable[[pa.Table], pa.Table]:
+    """Sums of one source block over its packed target blocks, per source and radius with a target in reach."""
+    def of_group(table: pa.Table) -> pa.Table:
+        own = table["own"].combine_chunks().flatten()
+        x, y = (pc.struct_field(own, c).to_numpy(zero_copy_only=False)[:, None] for c in ("_lx", "_ly"))
+        sums: dict[float, np.ndarray] = {}
+        met: dict[float, np.ndarray] = {}
+        for tx, ty, n, rim in zip(*[table[c] for c in ("x", "y", "n", "rim")]):
+            if not tx.is_valid:
+                continue
+            dx, dy = x - tx.values.to_numpy(), y - ty.values.to_numpy()
+            d2, n = dx * dx + dy * dy, n.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+            short = np.float64 if len(n) * np.abs(n).max(initial=0).astype(np.float64) < 2.0 ** 53 else np.int64  # either way exact
+            for r in rim.as_py():
+                near = d2 <= r * r
+                sums[r] = sums.get(r, 0) + (near.astype(short) @ n.astype(short)).astype(np.int64)
+                met[r] = met.get(r, False) | near.any(axis=1)
+        found = {r: np.flatnonzero(hit) for r, hit in sorted(met.items())}
+        which = np.concatenate([np.zeros(0, np.int64), *found.values()])
+        flat = np.concatenate([np.zeros(0, np.int64), *[sums[r][i].ravel() for r, i in found.items()]])
+        lists = pa.ListArray.from_arrays(np.arange(len(which) + 1, dtype=np.int32) * width, pa.array(flat))
+        return pa.table({"own": own.take(pa.array(which)), "radius": np.repeat(np.array(list(found)), [len(i) for i in found.values()]).astype(np.float64), "n": lists})
+    return of_group
+
+
+def _rim_sums(here: DataFrame, there: DataFrame, rim: DataFrame, own: Sequence[str], width: int, pairs: int) -> DataFrame:
+    """(own, radius, n) of the points of rim pairs, by packed blocks that meet as matrices; a source may have several rows.
+
+    The points of a tile are cut to blocks of bounded size. The blocks of targets that one block of sources meets are dealt to groups,
+    and groups to as many tasks as the pairs of points need.
+    """
+    rim = rim.select("sx", "sy", "tx", "ty", "sn", "tn", "rim")
+    of = lambda n: F.ceil(F.col(n) / BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    def dealt(points: DataFrame, tag: str) -> DataFrame:
+        tile = [f"{tag}x", f"{tag}y"]
+        parts = rim.groupBy(*tile).agg(F.max(of(f"{tag}n")).alias("_parts"))
+        return points.join(parts, tile).withColumn(f"{tag}p", F.pmod(F.xxhash64(*points.columns), F.col("_parts"))).drop("_parts")
+
+    whole = F.array(*[F.coalesce(F.col("n")[i], F.lit(0)).cast("bigint") for i in range(width)])
+    targets = dealt(there.select("tx", "ty", "x", "y", whole.alias("n")), "t").groupBy("tx", "ty", "tp").agg(
+        F.collect_list("x").alias("x"), F.collect_list("y").alias("y"), F.flatten(F.collect_list("n")).alias("n"))
+    packed = dealt(here.select("sx", "sy", F.struct(*own, F.col("x").cast("double").alias("_lx"), F.col("y").cast("double").alias("_ly")).alias("own")), "s")
+    packed = packed.groupBy("sx", "sy", "sp").agg(F.collect_list("own").alias("own"))
+    groups = rim.groupBy("sx", "sy").agg(F.ceil(F.sum("tn") / MEET).alias("_groups"))
+    asked = (rim.join(groups, ["sx", "sy"]).withColumn("tp", every(of("tn"))).withColumn("sp", every(of("sn")))
+             .withColumn("g", F.pmod(F.xxhash64("tx", "ty", "tp"), F.col("_groups"))).select("sx", "sy", "sp", "g", "tx", "ty", "tp", "rim"))
+    key = ["sx", "sy", "sp", "g"]
+    met = asked.join(targets, ["tx", "ty", "tp"]).select(*key, "x", "y", "n", "rim")
+    asking = packed.join(groups, ["sx", "sy"]).withColumn("g", every(F.col("_groups"))).select(*key, "own")
+    tasks = min(MOST_TASKS, math.ceil(pairs / TASK_PAIRS) or 1)
+    rows = met.unionByName(asking, allowMissingColumns=True).repartition(tasks, *key)
+    out = StructType([StructField("own", packed.schema["own"].dataType.elementType), StructField("radius", DoubleType()), StructField("n", ArrayType(LongType()))])
+    return rows.groupBy(*key).applyInArrow(_met(width), out).select(*[F.col(f"own.{c}").alias(c) for c in own], "radius", "n")
+
+
 def radius_sums(sources: DataFrame, nodes: DataFrame, radii: Sequence[float], keys: Sequence[str], carry: Sequence[str], width: int,
-                depth: int = DEPTH, split: int = SPLIT, least: int = LEAST) -> DataFrame:
+                depth: int = DEPTH, split: int = PACKED_SPLIT, least: int = PACKED_LEAST) -> DataFrame:
     """Per source and radius, the elementwise sum of ``n`` over all nodes at distance <= radius: (keys, carry, radius, n).
 
     ``sources`` hold x, y, keys (unique per row) and carried columns, ``nodes`` hold x, y and an array ``n`` of
@@ -100,10 +168,7 @@ def radius_sums(sources: DataFrame, nodes: DataFrame, radii: Sequence[float], ke
             per_tile = inside.select("sx", "sy", "tx", "ty", F.explode("inside").alias("radius")).join(totals, ["tx", "ty"]).groupBy("sx", "sy", "radius").agg(*sums)
             parts.append(here.join(per_tile.select("sx", "sy", "radius", together), ["sx", "sy"]).select(*own, "radius", "n"))
         if n_rim:
-            left = here.select(*own, "sx", "sy", F.col("x").alias("_lx"), F.col("y").alias("_ly")).join(rim.select("sx", "sy", "tx", "ty", "rim"), ["sx", "sy"])
-            dx, dy = F.col("_lx") - F.col("x"), F.col("_ly") - F.col("y")
-            met = left.join(there.select("tx", "ty", "x", "y", "n"), ["tx", "ty"]).withColumn("_d2", dx * dx + dy * dy)
-            parts.append(met.withColumn("radius", F.explode(F.filter("rim", lambda r: F.col("_d2") <= r * r))).select(*own, "radius", "n"))
+            parts.append(_rim_sums(here, there, rim, own, width, n_rim))
     if not parts:
         return s.limit(0).select(*own, F.lit(0.0).alias("radius"), F.array(*[F.lit(0).cast("bigint")] * width).alias("n"))
     rows = parts[0]

@@ -68,3 +68,19 @@ def test_few_pairs_are_expanded(spark):
     held = dict(zip(map(tuple, tiles), counts))
     whole = sum(held.get((i + a, j + b), 0) for i, j in np.floor(xy / side).astype(int) for a in (-1, 0, 1) for b in (-1, 0, 1))
     assert 0 < sum(expanded.values()) <= 0.25 * whole
+
+
+@pytest.mark.parametrize("kind", ["grid", "crowded", "copies"])
+def test_pairs_of_points_are_dealt_over_tasks_in_blocks(spark, kind, monkeypatch):
+    """The rows are one small table: as many tasks as the pairs need look at them, and no pair of points is a row."""
+    monkeypatch.setattr(T, "BLOCK", 16)
+    monkeypatch.setattr(T, "MEET", 64)
+    monkeypatch.setattr(T, "TASK_PAIRS", 1000)
+    xy, radii = points(kind), [5.0, 2.0]
+    sources, nodes, n = tables(spark, xy, 120)
+    out = T.radius_sums(sources, nodes, radii, ["key"], ["m"], 2)
+    s, t = (T._gridded(d, radii[0] * (1 + 1e-9) / 2 ** T.DEPTH, tag) for d, tag in ((sources, "s"), (nodes, "t")))
+    (_, _, _, _, pairs), = T.tile_pairs(s, t, radii, split=T.PACKED_SPLIT, least=T.PACKED_LEAST)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs > 5000 and "FlatMapGroupsInArrow" in plan and f", {-(-pairs // 1000)}" in next(r for r in plan.splitlines() if "RepartitionByExpression" in r)
+    assert {(r["key"], r["radius"]): tuple(r["n"]) for r in out.collect()} == expected(xy, n, 120, radii)
