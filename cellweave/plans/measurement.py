@@ -406,7 +406,8 @@ def join_19(t: Tables) -> DataFrame:
     (select count(*) from features) as panel, count(*) as entries, sum(value) as total from counts where cell_id in (select cell_id from cells where x between {_X0} and {_X1} and y between {_Y0} and {_Y1})""")
 def snk_05(t: Tables) -> DataFrame:
     folder = scratch(t)
-    written = atlas.write_roi(folder, t.atlas.cells, t.atlas.counts, t.features, VIEW)
+    # Counts are not stored first: those of other cells are dropped at the orders, before lines are joined and summed.
+    written = atlas.write_roi(folder, t.atlas.cells, t.counts, t.features, VIEW)
     size = lambda name: F.max(F.when(F.col("table") == name, F.col("row_count")))
     sums = t.spark.read.parquet(f"{folder}/counts").agg(F.sum("value").alias("total")).withColumn("_k", F.lit(1))
     return written.agg(size("cells").alias("cells"), size("features").alias("panel"), size("counts").alias("entries")).withColumn("_k", F.lit(1)).join(sums, "_k").drop("_k")

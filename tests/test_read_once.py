@@ -1,8 +1,11 @@
 """What every fit reads is stored first, so that the order lines are joined once."""
+import os
+
 import pytest
 
 import __spark_entry__ as entry
 from cellweave.operators import models, spectral
+from cellweave.plans import tables
 
 
 class Seen(Exception):
@@ -20,3 +23,10 @@ def test_fits_read_stored_values(spark, monkeypatch, module, step, query, at):
     with pytest.raises(Seen) as seen:
         entry.queries()[query](spark, "/root/testdata/sf0.001").collect()
     assert seen.value.args == (False,)
+
+
+def test_a_frozen_roi_sums_no_counts_of_other_cells(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_ATLASES", {})
+    assert entry.queries()["SNK_05_roi_freeze"](spark, "/root/testdata/sf0.001").count() == 1
+    atlas, = tables._ATLASES.values()
+    assert os.listdir(atlas._path) == ["cells"]
