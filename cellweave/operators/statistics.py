@@ -159,9 +159,9 @@ def _sides(values: DataFrame, features: DataFrame, pairs: DataFrame, graph: Data
 
 
 def _scores(placed: DataFrame, index: DataFrame, left: DataFrame, right: DataFrame, n: int) -> DataFrame:
-    """(perm, ligand, receptor, s): sum of c_j b_j over positions, divided by the number of cells."""
+    """(perm, ligand, receptor, s): sum of c_j b_j over positions, divided by the number of cells; where b_j is zero c_j may be NaN."""
     sums = placed.join(left, "cell_id").join(right, ["from_id", "block"]).groupBy("perm", "block").agg(
-        *[(F.sum(F.col(f"c{i}") * F.col(f"r{i}")) / n).alias(f"s{i}") for i in range(SLOTS)])
+        *[(F.coalesce(F.sum(F.when(F.col(f"r{i}") != 0, F.col(f"c{i}") * F.col(f"r{i}"))), F.lit(0.0)) / n).alias(f"s{i}") for i in range(SLOTS)])
     every = F.array(*[F.col(f"s{i}") for i in range(SLOTS)])
     return sums.join(index, "block").select("perm", "ligand", "receptor", every[F.col("slot")].alias("s"))
 
