@@ -90,22 +90,37 @@ def dense_index(ids: DataFrame, key: str, out: str = "idx") -> DataFrame:
     return cumulative_counts(ids, [], key).select(key, F.col("before").alias(out))
 
 
-def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
-    """(perm, cell_id, from_id): a declared, reproducible permutation per replicate; perm 0 is the identity.
+def ranked_replicates(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
+    """(perm, the columns of ``ids``, _place): the place of every id in the order of each replicate from 1 to ``count``.
 
-    Replicate b orders the ids by md5(seed|b|id) and hands the r-th id in that order to the r-th position.
-    Digest prefixes are uniform, so the 256 buckets per replicate are balanced whatever the ids are.
+    Replicate b orders the ids by md5(seed|b|id). Digest prefixes are uniform, so the 256 buckets per replicate are balanced whatever the ids are.
     """
     text = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(key).cast("string"))
     # A replicate of every id is far more than any size estimate of the ids foresees: no join may send it through the driver.
     # Rows are dealt by the digest's bucket and take the digest itself only where they are ordered.
-    hashed = (ids.select(key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_b", F.substring(F.md5(text), 1, 2)))
+    dealt = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ids are few bytes, often one partition, and their replicates are not
+    hashed = ids.repartition(dealt, key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_b", F.substring(F.md5(text), 1, 2))
     inside = W.partitionBy("perm", "_b").orderBy("_h")
     ahead = W.partitionBy("perm").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = hashed.groupBy("perm", "_b").agg(F.count("*").alias("_bn")).select(
         "perm", "_b", F.coalesce(F.sum("_bn").over(ahead), F.lit(0)).alias("_off"))
-    ranked = (hashed.repartition("perm", "_b").withColumn("_h", F.md5(text)).withColumn("_i", F.row_number().over(inside))
-              .join(offsets.hint("shuffle_hash"), ["perm", "_b"])
-              .select("perm", F.col(key).alias("from_id"), (F.col("_off") + F.col("_i") - 1).alias("idx")))
+    return (hashed.repartition("perm", "_b").withColumn("_h", F.md5(text)).withColumn("_i", F.row_number().over(inside))
+            .join(offsets.hint("shuffle_hash"), ["perm", "_b"])
+            .select("perm", *ids.columns, (F.col("_off") + F.col("_i") - 1).alias("_place")))
+
+
+def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
+    """(perm, cell_id, from_id): a declared, reproducible permutation per replicate; perm 0 is the identity.
+
+    The r-th id in a replicate's order (``ranked_replicates``) goes to the r-th position.
+    """
+    ranked = ranked_replicates(ids.select(key), count, seed, key).select("perm", F.col(key).alias("from_id"), F.col("_place").alias("idx"))
     placed = ranked.join(dense_index(ids, key).hint("shuffle_hash"), "idx").select("perm", key, "from_id")
     return placed.unionByName(ids.select(F.lit(0).alias("perm"), key, F.col(key).alias("from_id")))
+
+
+def placements(index: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
+    """(perm, at, frm): ``permutations`` between the places of ids in their own order, for ``index`` (key, idx) of distinct ids."""
+    ranked = ranked_replicates(index, count, seed, key).select("perm", F.col("_place").cast("bigint").alias("at"), F.col("idx").cast("bigint").alias("frm"))
+    same = F.col("idx").cast("bigint")
+    return ranked.unionByName(index.select(F.lit(0).alias("perm"), same.alias("at"), same.alias("frm")))

@@ -1,13 +1,13 @@
 """Permutation-based spatial statistics over a weighted graph."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import permutation_p
 from ..session import materialise
-from .ranking import benjamini_hochberg, cumulative_counts, permutations
-
-SLOTS = 32  # features per block row: wide columns keep the permutation sums inside generated code
+from .ranking import benjamini_hochberg, cumulative_counts, dense_index, placements
+from .replicates import SLOTS, chunking, edge_pairs, placed_pairs, position_blocks, replicate_sums, row_chunks
 
 
 MIN_PERMUTATIONS = 19
@@ -67,36 +67,37 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
     """One-sided permutation Moran test per feature with BH over the tested ones; every feature keeps a row.
 
     ``values`` are normalised non-zero entries, ``detected`` (feature_id, detected) the whole panel, ``graph``
-    symmetric. One permutation table serves all features. With zeros left implicit,
-    I = n/S0 * (sum w y_i y_j - 2 m sum deg_i y_i + m^2 S0) / sum (y - m)^2, so a permutation only moves the
-    first two sums and all-zero blocks never travel.
+    symmetric. One permutation table serves all features, and only row numbers travel with it: the rows that a replicate
+    moves to the ends of an edge are named by a packed pair, and chunks of rows meet once for all replicates (``replicates``).
     """
     enough(permutation_count)
-    ids, graph, detected = materialise(ids.select("cell_id")), materialise(graph), materialise(detected)
+    ids = materialise(ids.select("cell_id", *[c for c in ("x", "y") if c in ids.columns]))
+    graph, detected = materialise(graph), materialise(detected)
+    index_of = materialise(dense_index(ids, "cell_id"))
     n = ids.count()
     eligible = detected.filter(F.col("detected") >= min_detected).select("feature_id")
     tested_values = materialise(values.join(eligible, "feature_id", "left_semi"))
     wide, index = _blocked(tested_values, eligible)
-    wide, index = materialise(wide), materialise(index)
+    index = materialise(index)
     mean, spread = _moments(tested_values, n)
-    stats = tested_values.groupBy("feature_id").agg(mean.alias("m"), spread.alias("d"))
-    placed = materialise(permutations(ids, permutation_count, seed))
-    half = graph.filter(F.col("src") < F.col("dst"))
-    at = lambda name, value: placed.select("perm", F.col("cell_id").alias(name), F.col("from_id").alias(value))
-    y = lambda key, p: wide.select(F.col("cell_id").alias(key), "block", *[F.col(f"y{i}").alias(f"{p}{i}") for i in range(SLOTS)])
-    moved = half.join(at("src", "a_id"), "src").join(at("dst", "b_id"), ["dst", "perm"]).select("perm", "a_id", "b_id", "w")
-    cross = moved.join(y("a_id", "a"), "a_id").join(y("b_id", "b"), ["b_id", "block"])
-    cross = cross.groupBy("perm", "block").agg(*[F.sum(F.col("w") * F.col(f"a{i}") * F.col(f"b{i}") * 2).alias(f"s{i}") for i in range(SLOTS)])
-    degree = graph.groupBy(F.col("src").alias("cell_id")).agg(F.sum("w").alias("deg"))
-    first = placed.join(degree, "cell_id").join(y("from_id", "a"), "from_id")
-    first = first.groupBy("perm", "block").agg(*[F.sum(F.col("deg") * F.col(f"a{i}")).alias(f"s{i}") for i in range(SLOTS)])
+    stats = materialise(tested_values.groupBy("feature_id").agg(mean.alias("m"), spread.alias("d")))
+    shift: dict[int, np.ndarray] = {}
+    for r in index.join(stats, "feature_id", "left").select("block", "slot", F.coalesce("m", F.lit(0.0)).alias("m")).collect():  # a row per feature of the panel
+        shift.setdefault(r["block"], np.zeros(SLOTS))[r["slot"]] = r["m"]
+    place = lambda end, name: index_of.select(F.col("cell_id").alias(end), F.col("idx").cast("bigint").alias(name))
+    half = graph.filter(F.col("src") < F.col("dst")).join(place("src", "i"), "src").join(place("dst", "j"), "dst").select("i", "j", "w")
+    half = materialise(half)
+    size, chunks = chunking(n, float(half.count()) * (permutation_count + 1), ordered=False)
+    placed = placements(index_of, permutation_count, seed)
+    blocks = position_blocks(ids, index_of, n, permutation_count)
+    rows = row_chunks(wide.join(index_of, "cell_id"), "y", size, shift)
+    sums = replicate_sums(edge_pairs(placed, half, blocks, permutation_count, size, chunks), rows, rows, len(shift), permutation_count, size, chunks, False, shift) if shift else None
     s0 = graph.agg(F.sum("w").alias("s0")).withColumn("_k", F.lit(1))
-    keys = ["perm", "feature_id"]
-    joined = (_unblock(first, index, "r").join(_unblock(cross, index, "aa"), keys, "left").join(stats, "feature_id")
-              .withColumn("_k", F.lit(1)).join(F.broadcast(s0), "_k"))  # s0: one row
-    m, w = F.col("m"), F.col("s0")
-    score = F.lit(n) / w * (F.coalesce("aa", F.lit(0.0)) - 2 * m * F.col("r") + m * m * w) / F.col("d")
-    scored = materialise(joined.filter(F.col("d") > 1e-12).select("feature_id", "perm", score.alias("i")))
+    if sums is None:
+        scored = graph.sparkSession.createDataFrame([], f"feature_id {detected.schema['feature_id'].dataType.simpleString()}, perm int, i double")
+    else:
+        joined = _unblock(sums, index, "aa").join(stats, "feature_id").withColumn("_k", F.lit(1)).join(F.broadcast(s0), "_k")  # s0: one row
+        scored = materialise(joined.filter(F.col("d") > 1e-12).select("feature_id", "perm", (F.lit(n) / F.col("s0") * 2 * F.col("aa") / F.col("d")).alias("i")))
     observed = scored.filter("perm = 0").select("feature_id", F.col("i").alias("morans_i"))
     exceed = (scored.filter("perm > 0").join(observed, "feature_id").groupBy("feature_id")
               .agg(F.count_if(reaches(F.col("i"), F.col("morans_i"))).alias("exceed")))
@@ -178,12 +179,22 @@ def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, gr
                     permutation_count: int = 199, seed: int = 0) -> DataFrame:
     """Spatial co-expression per pair, receptors permuted over the cells; every pair keeps a row.
 
-    A replicate is one join of the ligand rows with moved receptor rows and never touches the edges again.
+    A replicate pairs the ligand rows with moved receptor rows by their numbers and never touches the edges again.
     """
     enough(permutation_count)
     verdict, expr, index, left, right = _sides(values, features, pairs, graph, ids)
     n = ids.count()
-    per_perm = materialise(_scores(permutations(ids, permutation_count, seed), index, left, right, n))
+    index_of = materialise(dense_index(ids.select("cell_id"), "cell_id"))
+    size, chunks = chunking(n, float(n) * (permutation_count + 1), ordered=True)
+    c = row_chunks(left.join(index_of, "cell_id"), "c", size)
+    r = row_chunks(right.withColumnRenamed("from_id", "cell_id").join(index_of, "cell_id"), "r", size)
+    blocks = index.agg(F.max("block")).first()[0]
+    if blocks is None:
+        per_perm = graph.sparkSession.createDataFrame([], "perm int, ligand string, receptor string, s double")
+    else:
+        sums = replicate_sums(placed_pairs(placements(index_of, permutation_count, seed), size, chunks), c, r, blocks + 1, permutation_count, size, chunks, True)
+        every = F.array(*[F.col(f"s{i}") / n for i in range(SLOTS)])
+        per_perm = materialise(sums.join(index, "block").select("perm", "ligand", "receptor", every[F.col("slot")].alias("s")))
     observed = per_perm.filter("perm = 0").select("ligand", "receptor", F.col("s").alias("_obs"))
     keys = ["ligand", "receptor"]
     exceed = (per_perm.filter("perm > 0").join(observed, keys).groupBy(*keys).agg(F.count_if(reaches(F.col("s"), F.col("_obs"))).alias("_e")))
