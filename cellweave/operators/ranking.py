@@ -5,12 +5,17 @@ combined), split into ordered buckets, ranked inside each bucket and shifted by
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialise
 
+TASK_ROWS = 2_000_000  # replicates of ids that a task orders, about
+
 
 def cumulative_counts(rows: DataFrame, by: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
     """(by, value, n, before, total, _b): how many rows hold a value and how many lie strictly below it.
@@ -90,37 +95,62 @@ def dense_index(ids: DataFrame, key: str, out: str = "idx") -> DataFrame:
     return cumulative_counts(ids, [], key).select(key, F.col("before").alias(out))
 
 
-def ranked_replicates(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
-    """(perm, the columns of ``ids``, _place): the place of every id in the order of each replicate from 1 to ``count``.
+def _replicates(ids: DataFrame, count: int, seed: int, key: str) -> tuple[DataFrame, Column]:
+    """(every id once per replicate from 1 to ``count`` with the bucket ``_b`` of its digest, the digest): replicate b orders the ids by
+    md5(seed|b|id). Digest prefixes are uniform, so the 256 buckets per replicate are balanced whatever the ids are."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(key).cast("string")))
+    dealt = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ids are few bytes, often one partition, and their replicates are not
+    every = ids.repartition(dealt, key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    return every.withColumn("_b", F.substring(digest, 1, 2)), digest
+
+
+def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
+    """(perm, cell_id, from_id): a declared, reproducible permutation per replicate; perm 0 is the identity.
 
-    Replicate b orders the ids by md5(seed|b|id). Digest prefixes are uniform, so the 256 buckets per replicate are balanced whatever the ids are.
+    Replicate b orders the ids by md5(seed|b|id) and hands the r-th id in that order to the r-th position.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col(key).cast("string"))
     # A replicate of every id is far more than any size estimate of the ids foresees: no join may send it through the driver.
     # Rows are dealt by the digest's bucket and take the digest itself only where they are ordered.
-    dealt = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ids are few bytes, often one partition, and their replicates are not
-    hashed = ids.repartition(dealt, key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_b", F.substring(F.md5(text), 1, 2))
+    hashed, digest = _replicates(ids.select(key), count, seed, key)
     inside = W.partitionBy("perm", "_b").orderBy("_h")
     ahead = W.partitionBy("perm").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = hashed.groupBy("perm", "_b").agg(F.count("*").alias("_bn")).select(
         "perm", "_b", F.coalesce(F.sum("_bn").over(ahead), F.lit(0)).alias("_off"))
-    return (hashed.repartition("perm", "_b").withColumn("_h", F.md5(text)).withColumn("_i", F.row_number().over(inside))
-            .join(offsets.hint("shuffle_hash"), ["perm", "_b"])
-            .select("perm", *ids.columns, (F.col("_off") + F.col("_i") - 1).alias("_place")))
-
-
-def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
-    """(perm, cell_id, from_id): a declared, reproducible permutation per replicate; perm 0 is the identity.
-
-    The r-th id in a replicate's order (``ranked_replicates``) goes to the r-th position.
-    """
-    ranked = ranked_replicates(ids.select(key), count, seed, key).select("perm", F.col(key).alias("from_id"), F.col("_place").alias("idx"))
+    ranked = (hashed.repartition("perm", "_b").withColumn("_h", digest).withColumn("_i", F.row_number().over(inside))
+              .join(offsets.hint("shuffle_hash"), ["perm", "_b"])
+              .select("perm", F.col(key).alias("from_id"), (F.col("_off") + F.col("_i") - 1).alias("idx")))
     placed = ranked.join(dense_index(ids, key).hint("shuffle_hash"), "idx").select("perm", key, "from_id")
     return placed.unionByName(ids.select(F.lit(0).alias("perm"), key, F.col(key).alias("from_id")))
 
 
 def placements(index: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
-    """(perm, at, frm): ``permutations`` between the places of ids in their own order, for ``index`` (key, idx) of distinct ids."""
-    ranked = ranked_replicates(index, count, seed, key).select("perm", F.col("_place").cast("bigint").alias("at"), F.col("idx").cast("bigint").alias("frm"))
+    """(perm, at, frm): ``permutations`` between the places of ids in their own order, for ``index`` (key, idx) of distinct ids.
+
+    A task orders the buckets it was dealt; the driver holds one number per replicate and bucket.
+    """
+    hashed, digest = _replicates(index.select(key, F.col("idx").cast("bigint").alias("frm")), count, seed, key)
+    sizes = np.zeros((count + 1, 256), np.int64)
+    for r in hashed.groupBy("perm", "_b").agg(F.count("*").alias("n")).collect():
+        sizes[r["perm"], int(r["_b"], 16)] = r["n"]
+    before = np.cumsum(sizes, axis=1) - sizes
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sizes.sum() / TASK_ROWS))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        perms, froms, digests = [], [], []
+        for batch in batches:
+            perms.append(batch["perm"].to_numpy())
+            froms.append(batch["frm"].to_numpy())
+            fixed = batch["_h"].cast(pa.binary(16))
+            digests.append(np.frombuffer(fixed.buffers()[1], ">u8", 2 * len(fixed), 16 * fixed.offset).astype(np.uint64).reshape(-1, 2))
+        if not sum(map(len, perms)):
+            return
+        perm, frm, h = np.concatenate(perms), np.concatenate(froms), np.concatenate(digests)
+        by = np.lexsort((h[:, 1], h[:, 0], perm))
+        perm, frm, bucket = perm[by], frm[by], (h[by, 0] >> np.uint64(56)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (perm[1:] != perm[:-1]) | (bucket[1:] != bucket[:-1])]))
+        at = np.arange(len(perm)) - np.repeat(starts, np.diff(np.append(starts, len(perm)))) + before[perm, bucket]
+        yield pa.RecordBatch.from_arrays([pa.array(perm, pa.int32()), pa.array(at, pa.int64()), pa.array(frm, pa.int64())], names=["perm", "at", "frm"])
+
+    ranked = hashed.repartition(tasks, "perm", "_b").select("perm", "frm", F.unhex(digest).alias("_h")).mapInArrow(order, "perm int, at long, frm long")
     same = F.col("idx").cast("bigint")
     return ranked.unionByName(index.select(F.lit(0).alias("perm"), same.alias("at"), same.alias("frm")))
