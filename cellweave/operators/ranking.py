@@ -6,7 +6,7 @@ combined), split into ordered buckets, ranked inside each bucket and shifted by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +123,23 @@ def permutations(ids: DataFrame, count: int, seed: int, key: str = "cell_id") ->
     return placed.unionByName(ids.select(F.lit(0).alias("perm"), key, F.col(key).alias("from_id")))
 
 
-def placements(index: DataFrame, count: int, seed: int, key: str = "cell_id") -> DataFrame:
+def _plain(perm: np.ndarray, at: np.ndarray, frm: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(perm, pa.int32()), pa.array(at, pa.int64()), pa.array(frm, pa.int64())], names=["perm", "at", "frm"])
+
+
+def _digest_order(perm: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of rows by replicate and digest (two words each)."""
+    by = np.argsort(h[:, 0])
+    by = by[np.argsort(perm[by].astype(np.uint16), kind="stable")]
+    if ((h[by[1:], 0] == h[by[:-1], 0]) & (perm[by[1:]] == perm[by[:-1]])).any():  # the second word decides
+        by = np.lexsort((h[:, 1], h[:, 0], perm))
+    return by
+
+
+def placements(index: DataFrame, count: int, seed: int, key: str = "cell_id", pack: Callable[..., pa.Table] = _plain, schema: str = "perm int, at long, frm long") -> DataFrame:
     """(perm, at, frm): ``permutations`` between the places of ids in their own order, for ``index`` (key, idx) of distinct ids.
 
-    A task orders the buckets it was dealt; the driver holds one number per replicate and bucket.
+    A task orders the buckets it was dealt, and gives what ``pack`` makes of them; the driver holds one number per replicate and bucket.
     """
     hashed, digest = _replicates(index.select(key, F.col("idx").cast("bigint").alias("frm")), count, seed, key)
     sizes = np.zeros((count + 1, 256), np.int64)
@@ -145,12 +158,17 @@ def placements(index: DataFrame, count: int, seed: int, key: str = "cell_id") ->
         if not sum(map(len, perms)):
             return
         perm, frm, h = np.concatenate(perms), np.concatenate(froms), np.concatenate(digests)
-        by = np.lexsort((h[:, 1], h[:, 0], perm))
+        by = _digest_order(perm, h)
         perm, frm, bucket = perm[by], frm[by], (h[by, 0] >> np.uint64(56)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], (perm[1:] != perm[:-1]) | (bucket[1:] != bucket[:-1])]))
         at = np.arange(len(perm)) - np.repeat(starts, np.diff(np.append(starts, len(perm)))) + before[perm, bucket]
-        yield pa.RecordBatch.from_arrays([pa.array(perm, pa.int32()), pa.array(at, pa.int64()), pa.array(frm, pa.int64())], names=["perm", "at", "frm"])
+        yield from pack(perm, at, frm).to_batches()
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["idx"].to_numpy()
+            if len(at):
+                yield from pack(np.zeros(len(at), np.int32), at, at).to_batches()
 
-    ranked = hashed.repartition(tasks, "perm", "_b").select("perm", "frm", F.unhex(digest).alias("_h")).mapInArrow(order, "perm int, at long, frm long")
-    same = F.col("idx").cast("bigint")
-    return ranked.unionByName(index.select(F.lit(0).alias("perm"), same.alias("at"), same.alias("frm")))
+    ranked = hashed.repartition(tasks, "perm", "_b").select("perm", "frm", F.unhex(digest).alias("_h")).mapInArrow(order, schema)
+    return ranked.unionByName(index.select(F.col("idx").cast("bigint").alias("idx")).mapInArrow(same, schema))

@@ -6,14 +6,14 @@ with the replicates: pairs of row numbers do, packed by the two chunks of rows t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .ranking import dense_index
+from .ranking import dense_index, placements
 
 SLOTS = 32  # columns of a block of rows
 PAIRS = 8_000_000  # pairs that two chunks meet in, about
@@ -53,41 +53,23 @@ def _packed(size: int, chunks: int, perm: np.ndarray, a: np.ndarray, b: np.ndarr
                     names=["key", "perm", "a", "b", "w"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[list[np.ndarray]]:
-    """The columns of about ``PACKED`` rows at a time."""
-    held, n = [], 0
-    for batch in batches:
-        held.append([batch[c].to_numpy(zero_copy_only=False) for c in columns])
-        n += len(batch)
-        if n >= PACKED:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held, n = [], 0
-    if n:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+def placed_pairs(index: DataFrame, replicates: int, seed: int, size: int, chunks: int) -> DataFrame:
+    """Messages of the pairs (position, row moved there) of replicates 0 to ``replicates`` of ``index`` (cell_id, idx)."""
+    return placements(index, replicates, seed, pack=lambda perm, at, frm: _packed(size, chunks, perm, at, frm, None), schema=_MESSAGE)
 
 
-def placed_pairs(placed: DataFrame, size: int, chunks: int) -> DataFrame:
-    """Messages of the pairs (position, row moved there) of ``placed`` (perm, at, frm)."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for perm, at, frm in _gathered(batches, ["perm", "at", "frm"]):
-            yield from _packed(size, chunks, perm, at, frm, None).to_batches()
-    return placed.select("perm", "at", "frm").mapInArrow(pack, _MESSAGE)
-
-
-def edge_pairs(placed: DataFrame, edges: DataFrame, blocks: DataFrame, replicates: int, size: int, chunks: int) -> DataFrame:
+def edge_pairs(index: DataFrame, replicates: int, seed: int, edges: DataFrame, blocks: DataFrame, size: int, chunks: int) -> DataFrame:
     """Messages of the pairs of rows that replicates 0 to ``replicates`` move to the ends of edges (i, j, w).
 
     ``blocks`` (at, blk) puts positions that share edges together: a block gathers the rows moved to its own positions and to those
     its edges lead to, all replicates of a position as one value.
     """
     many = replicates + 1
-    run = max(64, PACKED // many)  # positions that are packed together
+    run = min(1 << 16, max(64, PACKED // many))  # positions that are packed together
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for perm, at, frm in _gathered(batches, ["perm", "at", "frm"]):
-            found = [(key, perm[s].astype(np.uint16).tobytes(), (at[s] % run).astype(np.uint16).tobytes(), frm[s].astype(np.int32).tobytes()) for key, s in _runs(at // run)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), *(pa.array([r[i] for r in found], pa.binary()) for i in (1, 2, 3))],
-                                             names=["blk", "perm", "at", "frm"])
+    def deal(perm: np.ndarray, at: np.ndarray, frm: np.ndarray) -> pa.Table:
+        found = [(key, perm[s].astype(np.uint16).tobytes(), (at[s] % run).astype(np.uint16).tobytes(), frm[s].astype(np.int32).tobytes()) for key, s in _runs(at // run)]
+        return pa.table([pa.array([r[0] for r in found], pa.int64()), *(pa.array([r[i] for r in found], pa.binary()) for i in (1, 2, 3))], names=["blk", "perm", "at", "frm"])
 
     def pack(key: tuple, messages: pa.Table, asked: pa.Table) -> pa.Table:
         moved = np.zeros((run, many), np.int32)
@@ -114,7 +96,7 @@ def edge_pairs(placed: DataFrame, edges: DataFrame, blocks: DataFrame, replicate
     ends = materialise(edges.join(blocks.select(F.col("at").alias("i"), "blk"), "i").select("blk", "i", "j", "w"))
     asked = ends.select("blk", F.col("i").alias("at")).unionByName(ends.select("blk", F.col("j").alias("at"))).distinct()
     runs = asked.withColumn("run", F.floor(F.col("at") / run))
-    packs = (placed.select("perm", "at", "frm").mapInArrow(deal, _PLACED).groupBy("blk").cogroup(runs.groupBy("run")).applyInArrow(pack, "blk long, at long, moved binary"))
+    packs = (placements(index, replicates, seed, pack=deal, schema=_PLACED).groupBy("blk").cogroup(runs.groupBy("run")).applyInArrow(pack, "blk long, at long, moved binary"))
     return packs.groupBy("blk").cogroup(ends.groupBy("blk")).applyInArrow(pairs, _MESSAGE)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import permutation_p
 from ..session import materialise
-from .ranking import benjamini_hochberg, cumulative_counts, dense_index, placements
+from .ranking import benjamini_hochberg, cumulative_counts, dense_index
 from .replicates import SLOTS, chunking, edge_pairs, placed_pairs, position_blocks, replicate_sums, row_chunks
 
 
@@ -88,10 +88,9 @@ def spatially_variable(values: DataFrame, detected: DataFrame, graph: DataFrame,
     half = graph.filter(F.col("src") < F.col("dst")).join(place("src", "i"), "src").join(place("dst", "j"), "dst").select("i", "j", "w")
     half = materialise(half)
     size, chunks = chunking(n, float(half.count()) * (permutation_count + 1), ordered=False)
-    placed = placements(index_of, permutation_count, seed)
     blocks = position_blocks(ids, index_of, n, permutation_count)
     rows = row_chunks(wide.join(index_of, "cell_id"), "y", size, shift)
-    sums = replicate_sums(edge_pairs(placed, half, blocks, permutation_count, size, chunks), rows, rows, len(shift), permutation_count, size, chunks, False, shift) if shift else None
+    sums = replicate_sums(edge_pairs(index_of, permutation_count, seed, half, blocks, size, chunks), rows, rows, len(shift), permutation_count, size, chunks, False, shift) if shift else None
     s0 = graph.agg(F.sum("w").alias("s0")).withColumn("_k", F.lit(1))
     if sums is None:
         scored = graph.sparkSession.createDataFrame([], f"feature_id {detected.schema['feature_id'].dataType.simpleString()}, perm int, i double")
@@ -192,7 +191,7 @@ def ligand_receptor(values: DataFrame, features: DataFrame, pairs: DataFrame, gr
     if blocks is None:
         per_perm = graph.sparkSession.createDataFrame([], "perm int, ligand string, receptor string, s double")
     else:
-        sums = replicate_sums(placed_pairs(placements(index_of, permutation_count, seed), size, chunks), c, r, blocks + 1, permutation_count, size, chunks, True)
+        sums = replicate_sums(placed_pairs(index_of, permutation_count, seed, size, chunks), c, r, blocks + 1, permutation_count, size, chunks, True)
         every = F.array(*[F.col(f"s{i}") / n for i in range(SLOTS)])
         per_perm = materialise(sums.join(index, "block").select("perm", "ligand", "receptor", every[F.col("slot")].alias("s")))
     observed = per_perm.filter("perm = 0").select("ligand", "receptor", F.col("s").alias("_obs"))
